@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin letters with marks and what they fold to.
 MARKED, PLAIN = "àáâãåçèéêëìíîïñòóôõùúûýÿ", "aaaaaceeeeiiiinoooouuuyy"
@@ -73,7 +74,7 @@ def escape_ics(text: Column) -> Column:
     """Text value of a calendar: backslash, semicolon, comma and line breaks escaped."""
     t = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     t = F.replace(F.replace(t, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(t, r"\r\n|\r|\n", r"\\\\n")
+    return F.regexp_replace(t, r"\r\n|\r|\n", r"\\n")
 
 
 def escape_html(text: Column) -> Column:
@@ -115,7 +116,7 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2.0 * int(row[-1]) / (len(a) + len(codes))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``lcs_ratio`` per row; null if either is null."""
     return pd.Series([None if x is None or y is None else lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -126,7 +127,7 @@ def similar_title(a: Column, b: Column, stop: Sequence[str] = (), least: float =
     return F.arrays_overlap(keywords(a, stop), keywords(b, stop)) | (title_ratio(F.lower(a), F.lower(b)) >= least)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_form(text: pd.Series) -> pd.Series:
     """Compatibility form without combining marks, for letters beyond Latin."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))

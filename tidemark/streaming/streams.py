@@ -22,21 +22,25 @@ def once_per_day(events: DataFrame, key: str, ts: str, late: str = "3 days") ->
     return events.withWatermark(ts, late).withColumn("day", F.to_date(ts)).dropDuplicatesWithinWatermark([key, "day"])
 
 
-def first_seen(events: DataFrame, key: str, rest_ms: int) -> DataFrame:
-    """(key, n, is_new) per micro-batch: a key is new until it was seen, and again after ``rest_ms`` without an event."""
+def first_seen(events: DataFrame, key: str, ts: str, rest_ms: int, late: str = "1 hour") -> DataFrame:
+    """(key, n, is_new) per micro-batch: a key is new until it was seen, and again once event time has passed its last event by ``rest_ms``."""
 
     def advance(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n = sum(len(b) for b in batches)
+        n, last = 0, state.get[1] if state.exists else 0
+        for b in batches:
+            n += len(b)
+            last = max(last, int(b[ts].max().timestamp() * 1000))
         new = not state.exists
-        state.update(((state.get[0] if state.exists else 0) + n,))
-        state.setTimeoutDuration(rest_ms)
+        state.update(((state.get[0] if state.exists else 0) + n, last))
+        state.setTimeoutTimestamp(max(last + rest_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "n": [n], "is_new": [new]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, n long, is_new boolean", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = events.withWatermark(ts, late).groupBy(key)
+    return keyed.applyInPandasWithState(advance, f"{key} {kind}, n long, is_new boolean", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def diffed(path: str, key: str):
