@@ -21,6 +21,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPECIAL = "<|endoftext|>"
 CACHE_ENTRIES = 400_000
+GAP = 0.002  # the patterns found are within this share of the best
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -109,7 +110,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end: int
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def configurations(sizes: list[int], demands: list[int], size: int, rounds: int = 400) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demands: list[int], size: int, rounds: int = 800) -> list[tuple[list[int], int]]:
     """Whole numbers of configurations for a few distinct sizes: the linear programme of cutting
     patterns by column generation, its solution rounded down. A configuration is a count per size."""
     k = len(sizes)
@@ -117,17 +118,21 @@ def configurations(sizes: list[int], demands: list[int], size: int, rounds: int
         return []
     basis = np.diag([float(size // s) for s in sizes])  # column j: as many as fit of size j
     need = np.array(demands, dtype=float)
+    lengths = np.array(sizes)
+    fits = k - np.searchsorted(lengths[::-1], np.arange(size + 1), side="right")  # the first size that fits a capacity
     for _ in range(rounds):
         inverse = np.linalg.inv(basis)
         price = inverse.sum(axis=0)
-        # The most valuable pattern: a knapsack over capacities 0 .. size.
+        # The most valuable pattern: a knapsack over capacities 0 .. size. Sizes fall.
         value, pick = np.zeros(size + 1), np.full(size + 1, -1)
         for c in range(1, size + 1):
             value[c] = value[c - 1]
-            for j in range(k):
-                if sizes[j] <= c and value[c - sizes[j]] + price[j] > value[c] + 1e-12:
-                    value[c], pick[c] = value[c - sizes[j]] + price[j], j
-        if value[size] <= 1 + 1e-7:
+            if fits[c] < k:
+                gains = value[c - lengths[fits[c] :]] + price[fits[c] :]
+                best = int(gains.argmax())
+                if gains[best] > value[c] + 1e-12:
+                    value[c], pick[c] = gains[best], best + fits[c]
+        if value[size] <= 1 + GAP:
             break
         pattern, c = np.zeros(k), size
         while c > 0:
@@ -146,7 +151,7 @@ def configurations(sizes: list[int], demands: list[int], size: int, rounds: int
     return [([int(x) for x in basis[:, j]], int(np.floor(amount[j] + 1e-9))) for j in range(k) if amount[j] > 1 - 1e-9]
 
 
-def plan(counts: dict[int, int], size: int = 1024, groups: int = 24, large: float = 0.125) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], size: int = 1024, groups: int = 64, large: float = 0.125) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, how many alike), for a count of pieces per length.
 
     Lengths of at least ``large * size`` form ``groups`` groups of equal cardinality, rounded up to
@@ -246,7 +251,7 @@ def plan(counts: dict[int, int], size: int = 1024, groups: int = 24, large: floa
     return done
 
 
-def pack(table: DataFrame, size: int = 1024, groups: int = 24) -> DataFrame:
+def pack(table: DataFrame, size: int = 1024, groups: int = 64) -> DataFrame:
     """``table`` of pieces (length long, and columns that tell rows apart) with sequence_id and offset (long).
 
     The count of pieces per length, ``size`` numbers at most, comes to the driver for the plan; pieces are
@@ -288,6 +293,6 @@ def pack(table: DataFrame, size: int = 1024, groups: int = 24) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, size: int = 1024, groups: int = 24, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 1024, groups: int = 64, **options) -> DataFrame:
     """Pieces of every document with their place in sequences of at most ``size`` tokens."""
     return pack(written(pieces(docs, size=size, **options)), size, groups)
