@@ -110,10 +110,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     base = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long"), "v", F.size("v").alias("dim"), bucket.alias("bucket"))
     base = written(base)
     counts = base.groupBy("dim", "bucket").count().collect()  # a row per length class of each dimension
-    plan, seed = [], {}
+    plan, seed = [], set()
     for r in sorted(counts, key=lambda r: (r["dim"], r["bucket"])):
         plan.append((r["dim"], r["bucket"], -(-r["count"] // BLOCK), r["dim"] not in seed))
-        seed.setdefault(r["dim"], r["bucket"])
+        seed.add(r["dim"])
     if not plan:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = F.broadcast(spark.createDataFrame(plan, "dim int, bucket long, blocks int, longest boolean"))
@@ -134,11 +134,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
 
         return q.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(one, _PAIRS)
 
-    met = F.broadcast(spark.createDataFrame([(d, b, i, longest and i == 0) for d, b, m, longest in plan for i in range(m)], "dim int, bucket long, block int, first boolean"))
-    start = asked.withColumn("floor", F.lit(None).cast("long")).join(met.where("first").drop("first"), "dim")
+    start = asked.withColumn("floor", F.lit(None).cast("long")).join(blocks.where("longest"), "dim").withColumn("block", F.lit(0))
     head = written(run(start, placed.where(first)))
     nth = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     floors = head.withColumn("rn", F.row_number().over(nth)).where(F.col("rn") == k).select("query_id", F.col("score").alias("floor"))
-    later = asked.join(floors, "query_id", "left").join(met.where("not first").drop("first"), "dim")
+    ahead = F.when(F.col("longest"), 1).otherwise(0)
+    later = asked.join(floors, "query_id", "left").join(blocks, "dim").where(F.col("blocks") > ahead).withColumn("block", F.explode(F.sequence(ahead, F.col("blocks") - 1)))
     found = head.unionByName(run(later, placed.where(~first)))
     return found.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
