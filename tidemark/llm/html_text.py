@@ -32,10 +32,12 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Words in class, id or role that mark what is no article text.
 MARKED = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertis\w*|adsense|adbox|ad-?slot|ad-?banner|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|login"
-    r"|comments?|comment-?list|respond|replies|reply|disqus|discussion|reactions?|sidebars?|side-?bar|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|footers?|site-?footer|headers?|site-?header|masthead|topbar"
+    r"|comments?|comment-?list|respond|replies|reply|disqus|discussion|reactions?|sidebars?|side-?bar|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|footers?|site-?footer|masthead|topbar"
     r"|share|sharing|social|related|recommend\w*|more-?stories|trending|popular|tags?|skip-?link|toolbar|search|search-?form|contentinfo|complementary|dialog|advertisement|hidden|sr-only|copyright|legal|disclaimer)(?![a-z])",
     re.I,
 )
+TOP = re.compile(r"(?<![a-z])(?:headers?|site-?header)(?![a-z])", re.I)  # outside an article; in one it holds the title
+STATES = re.compile(r"\b(?:has|with|no|without|is|not|overflow)-[\w-]+", re.I)  # states of a layout, not parts of it
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -55,8 +57,10 @@ def _chrome(name: str, tag: str, within: bool) -> bool:
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and MARKED.search(re.sub(r"[_\s]", " ", value)):
-            return True
+        if key in ("class", "id", "role"):
+            words = STATES.sub(" ", re.sub(r"[_\s]", " ", value))
+            if MARKED.search(words) or not within and TOP.search(words):
+                return True
     return False
 
 
