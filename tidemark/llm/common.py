@@ -16,12 +16,17 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's, or a new one where it is unset."""
+    """A new path in the shared folder that the session names; in a folder of our own only where it names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-")
+        base = _own[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

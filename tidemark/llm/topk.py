@@ -19,7 +19,10 @@ _PAIRS = "query_id long, vec_id long, score long"
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, x as double; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of every component, x as double; null if the vector or a component is null or not finite.
+
+    Components of 1e12 and more, whose products leave 64 bits, count as not finite.
+    """
     v = vector.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e12)))
     return F.when(fine, F.transform(v, lambda x: F.floor(x * scale).cast("long")))
