@@ -131,3 +131,33 @@ def offer_fits_age(kind: Column, sessions: Column, low: Column, high: Column, bi
     """Courses and single events by their first session, regular ones by any that hasn't ended."""
     any_left = F.exists(upcoming(sessions, now), lambda s: fits_age(low, high, birth, F.to_date(s["start"])))
     return F.when(kind == REGULAR, any_left).otherwise(F.coalesce(fits_age(low, high, birth, F.to_date(first(sessions)["start"])), F.lit(False)))
+
+
+def union_sessions(a: Column, b: Column) -> Column:
+    """Sessions of both, ascending; of one start that of ``a`` counts."""
+    starts = F.transform(a, lambda s: s["start"])
+    return F.array_sort(F.concat(a, F.filter(b, lambda s: ~F.array_contains(starts, s["start"]))))
+
+
+def shared_window(a: Column, b: Column, since: Column) -> tuple[Column, Column]:
+    """(from, to) where two series' extents overlap from ``since`` on; nulls if they don't."""
+    lo = F.greatest(first(a)["start"], first(b)["start"], since)
+    hi = F.least(F.try_element_at(a, F.lit(-1))["start"], F.try_element_at(b, F.lit(-1))["start"])
+    return F.when(lo <= hi, lo), F.when(lo <= hi, hi)
+
+
+def ended_on(sessions: Column, day: Column, now: Column) -> Column:
+    """How many sessions of the day are over by ``now``."""
+    return F.size(F.filter(sessions, lambda s: (F.to_date(s["start"]) == day) & (s["end"] < now)))
+
+
+def last_day(sessions: Column) -> Column:
+    """Day of the last session."""
+    return F.to_date(F.try_element_at(sessions, F.lit(-1))["start"])
+
+
+def is_new_run(before: Column, after: Column, horizon: Column, gap: int = 14) -> Column:
+    """Does the first session that is new start ``gap`` days or more after the last one known, within the old horizon?"""
+    known = F.transform(before, lambda s: s["start"])
+    fresh = F.array_min(F.array_except(F.transform(after, lambda s: s["start"]), known))
+    return F.coalesce((F.datediff(F.to_date(fresh), F.to_date(F.array_max(known))) >= gap) & (F.to_date(fresh) <= horizon), F.lit(False))
