@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import more_queries as _more  # noqa: F401  registers its queries
 from . import queries as q
+from . import rollup_queries as _rollups  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
