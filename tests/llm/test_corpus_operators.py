@@ -301,6 +301,7 @@ def test_near_duplicates(spark, block):
         classes |= {x: min(group) for x in group}
         todo -= group
     assert all(got[i]["class_id"] == classes[i] for i in got if sets[i])
+    assert all((got[i]["class_id"], got[i]["n_links"]) == (i, 0) for i in (903, 904))
     assert got[900]["copy_id"] == 0 and got[902]["copy_id"] == 901
 
 

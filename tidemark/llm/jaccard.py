@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     pairs more; every candidate pair is verified exactly. Copies are compared once. Texts
     that share a prefix with others form groups, which are cut into blocks of bounded size, two to a task;
     no pair is ever a row, only counts per text and links that join.
-    A text without a word (null, empty) links to nothing but counts its copies' class. Rows with a
+    A text without a word (null, empty) links to nothing and is a class of its own. Rows with a
     null doc_id are left out; rows of equal doc_id count as one document (the smallest text).
     """
     spark = docs.sparkSession
@@ -193,10 +193,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copies, keys = [], []
-            for t in batch.column(1):
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py() or ""
-                copies.append(hashlib.md5(t.encode("utf-8", "replace")).digest())
                 s = windows(t)
+                copies.append(hashlib.md5(t.encode("utf-8", "replace") if len(s) else b"\0%d" % doc).digest())
                 keys.append(prefixes(s) >> shift if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "keys"])
 
