@@ -114,3 +114,27 @@ def same_source_duplicates(rows: DataFrame, group: Sequence[str], order: Sequenc
     """Of rows with an equal group the first by ``order``, with the number of rows it stands for."""
     w = W.partitionBy(*group)
     return rows.withColumn("__k", F.row_number().over(w.orderBy(*order))).withColumn("copies", F.count(F.lit(1)).over(w)).where("__k = 1").drop("__k")
+
+
+def unique_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs whose left and right stand in no other pair."""
+    one = lambda side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(side)
+    return pairs.join(one(left), left, "left_semi").join(one(right), right, "left_semi").select(*pairs.columns)
+
+
+def link_by_title(old: DataFrame, new: DataFrame, keys: Sequence[str], similar: Column, least: float = 0.5) -> DataFrame:
+    """(new_id, old_id): rows (id, keys, title, days: array) of equal keys with ``similar`` titles (over old_title and
+    new_title) that share ``least`` of their days or begin on one day, where neither side has another such partner."""
+    o = old.select("old_id", *keys, F.col("title").alias("old_title"), F.col("days").alias("__o"))
+    n = new.select("new_id", *keys, F.col("title").alias("new_title"), F.col("days").alias("__n"))
+    close = (array_jaccard(F.col("__o"), F.col("__n")) >= least) | (F.array_min("__o") == F.array_min("__n"))
+    pairs = o.join(n, list(keys)).where(close).where(similar).select("new_id", "old_id")
+    return unique_both_ways(pairs, "new_id", "old_id")
+
+
+def one_unit_per_row(rows: DataFrame, key: Sequence[str], unit: str, failed: Column, fit: Column, order: Column) -> DataFrame:
+    """Rows that several units report, each with one unit only: one that didn't fail, then of the best fit, then with the
+    most rows, then first in order."""
+    n = F.count(F.lit(1)).over(W.partitionBy(unit))
+    w = W.partitionBy(*key).orderBy(failed.cast("int"), fit.desc(), F.col("__n").desc(), order, F.col(unit))
+    return rows.withColumn("__n", n).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__n", "__k")

@@ -64,3 +64,17 @@ def verdict(failed: Column, total: Column, share: float = 0.2) -> Column:
 def plausible(current: Column, deployed: Column) -> Column:
     """Has the count not fallen by more than half?"""
     return current * 2 >= deployed
+
+
+def graded_cases(expected: DataFrame, predicted: DataFrame, keys: Sequence[str], similar: Column) -> DataFrame:
+    """Per case how many predicted rows (pred_id, title) meet an expected one (exp_id, title) of equal keys, one to one,
+    similar titles first; with both totals. ``keys`` begin with the case; ``similar`` is over exp_title and pred_title."""
+    from .joins import greedy_pairs
+
+    case = keys[0]
+    e = expected.select("exp_id", *keys, F.col("title").alias("exp_title"))
+    p = predicted.select("pred_id", *keys, F.col("title").alias("pred_title"))
+    pairs = e.join(p, list(keys)).select(*keys, "exp_id", "pred_id", F.coalesce(similar, F.lit(False)).cast("int").alias("score"))
+    hits = greedy_pairs(pairs, keys, "exp_id", "pred_id", "score").groupBy(case).agg(F.count(F.lit(1)).alias("hits"))
+    per = lambda d, name: d.groupBy(case).agg(F.count(F.lit(1)).alias(name))
+    return per(e, "expected").join(per(p, "predicted"), case, "full_outer").join(hits, case, "left").na.fill(0)

@@ -48,3 +48,17 @@ def undeltas(steps: Column) -> Column:
     """Running sums: the inverse of ``deltas``."""
     zero = F.expr("cast(array() as array<bigint>)")
     return F.aggregate(steps, zero, lambda a, x: F.array_append(a, (F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x).cast("bigint")))
+
+
+def encoded_planes(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, plane): the cells (0 to 255) of each row, in the order of their columns, as base64 bytes. Cells must be complete."""
+    per = cells.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(column, value))).alias("__c"))
+    digits = F.array_join(F.transform("__c", lambda c: F.lpad(F.hex(c[value].cast("long")), 2, "0")), "")
+    return per.select(row, F.base64(F.unhex(digits)).alias("plane"))
+
+
+def decoded_planes(planes: DataFrame, row: str, value: str = "value") -> DataFrame:
+    """(row, i, value): the bytes of each plane with their place from 0."""
+    digits = F.hex(F.unbase64("plane"))
+    p = planes.select(row, digits.alias("__h"), F.posexplode(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).alias("i", "__at"))
+    return p.select(row, "i", F.conv(F.substring("__h", F.col("__at"), F.lit(2)), 16, 10).cast("int").alias(value))
