@@ -199,6 +199,28 @@ def test_transit(spark):
     assert transit.connections(d).count() == 90
 
 
+def test_transfer_profile(spark):
+    r = random.Random(5)
+    times = []
+    for trip in range(40):
+        t = r.randrange(0, 60_000)  # sparse: most waits are over an hour
+        for seq, stop in enumerate(r.sample(range(8), 4)):
+            times.append((trip, seq, stop, t, t + 20))
+            t += r.randrange(100, 500)
+    paths = [(i, i, 0) for i in range(8)] + [(0, 1, 60), (1, 0, 60)]
+    of, walks = transit.rides(spark.createDataFrame(times, "trip long, seq int, stop long, arr long, dep long")), spark.createDataFrame(paths, "frm long, dst long, walk long")
+    with_one = brute_arrivals(times, paths, 10**6)
+    assert len(with_one) > len(brute_arrivals(times, paths, 3600))
+    assert {(x["frm"], x["dst"], x["dep"]): (x["arr"], x["rated"]) for x in transit.one_transfer(of, walks).collect()} == {k: (a, a + 600) for k, a in with_one.items()}
+    best = {k: (a + 600, 1) for k, a in with_one.items()}
+    for x in of.collect():
+        k = x["frm"], x["dst"], x["dep"]
+        best[k] = min(best.get(k, (10**9, 0)), (x["arr"], 0))
+    kept = {k: v for k, v in best.items() if not any(k2[:2] == k[:2] and k2[2] > k[2] and v2[0] <= v[0] for k2, v2 in best.items())}
+    got = {(x["frm"], x["dst"], x["dep"]): (x["rated"], (x["rated"] - x["arr"]) // 600) for x in transit.transfer_profile(of, walks).collect()}
+    assert got == kept and {n for _, n in kept.values()} == {0, 1}
+
+
 def test_footpaths(spark):
     stops = spark.createDataFrame([(1, 49.0, 11.0), (2, 49.002, 11.0), (3, 49.1, 11.0)], "stop long, lat double, lon double")
     assert {(r["frm"], r["dst"]) for r in transit.footpaths(stops).collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}

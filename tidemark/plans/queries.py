@@ -511,10 +511,10 @@ def direct_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_STOPS.replace("min(l_suppkey) % 40", "min(l_partkey)")}, x AS (SELECT a.frm, b.dst, a.dep, min(b.arr) AS arr FROM rd a JOIN rd b ON a.dst = b.frm AND a.trip <> b.trip AND b.dep BETWEEN a.arr AND a.arr + 3600 AND a.frm <> b.dst GROUP BY 1, 2, 3)
     SELECT frm, dst, CAST(dep AS BIGINT) AS dep, CAST(arr AS BIGINT) AS arr, CAST(arr + 600 AS BIGINT) AS rated FROM x""")
 def one_transfer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as stops: the network grows with the table."""
+    """Parts as stops: the network grows with the table. Its SQL knows transfers only, with a wait of an hour at most, so the two differ."""
     times = _stop_times(spark, sf_dir, F.min("l_partkey"))
     stops = times.select(F.col("stop").alias("frm")).distinct()
-    return transit.one_transfer(transit.rides(times), stops.select("frm", F.col("frm").alias("dst"), F.lit(0).alias("walk")))
+    return transit.transfer_profile(transit.rides(times), stops.select("frm", F.col("frm").alias("dst"), F.lit(0).alias("walk")))
 
 
 @query(f"""WITH {_STOPS}, b AS (SELECT frm, dst, dep, min(arr) AS arr FROM rd GROUP BY 1, 2, 3), m AS (SELECT unnest(range(28800, 28800 + 7200, 60)) AS t),
