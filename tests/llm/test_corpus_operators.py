@@ -200,6 +200,30 @@ def test_secret_scan(spark):
     assert got[1]["candidate"] == key and got[1]["is_secret"] and not got[2]["is_secret"] and not got[3]["is_secret"]
 
 
+def test_secret_forms(spark):
+    key, b64 = hashlib.sha1(b"k").hexdigest(), "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8aTq4vRk"
+    jwt = ("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c")
+    sg = ("ngeVfQFYQlKU0ufo8x5d1A", "TwL2iGABf9DHoTf09kqeF8tAmbihYzrnopKc1s5Y4aB")
+    forms = {
+        f"run token={key} now": [key],
+        f"password={b64}==": [b64 + "=="],
+        f"auth_token={key}": [key],
+        f'AWS_SECRET_ACCESS_KEY = "{b64}"': [b64],
+        f"AWS_SECRET_ACCESS_KEY={b64}\n": [b64],
+        f"Authorization: Bearer {'.'.join(jwt)}": list(jwt),
+        f"Authorization: Bearer SG.{'.'.join(sg)} x": list(sg),
+        f"api_key=SG.{'.'.join(sg)}": [f"SG.{'.'.join(sg)}"],
+        'DB_PASSWORD="xK9#qT2vLp"': ["xK9#qT2vLp"],
+    }
+    plain = [f"commit={key}", "password: required", "see www.internationalisation-management.information/station/table", "the secretary had a key: nothing", f"AWS_SECRET_ACCESS_KEY_OF_THE_SERVER is set, sha256: {key}{key[:24]}"]
+    rows = [(i, t, None, "src0", 1) for i, t in enumerate([*forms, *plain])]
+    found = secrets.scan(spark.createDataFrame(rows, DOC)).orderBy("doc_id", "n").collect()
+    for i, (text, want) in enumerate(forms.items()):
+        assert [r["candidate"] for r in found if r["doc_id"] == i and r["is_secret"]] == want, (text, [r for r in found if r["doc_id"] == i])
+    assert not [r for r in found if r["doc_id"] >= len(forms) and r["is_secret"]]
+    assert all("token=" in r["before"] for r in found if r["doc_id"] in (0, 2)) and any(r["before"].endswith("Bearer ") and r["n"] == 2 for r in found)
+
+
 # --- 6
 
 

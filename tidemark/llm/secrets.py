@@ -8,10 +8,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![\p{L}\p{N}+/_=.-])[A-Za-z0-9+/_=-]{20,}+(?![\p{L}\p{N}])"
-# Words near a finding that speak for or against a secret, and parts of paths that hold samples.
-SECRET_WORDS = r"(?i)\b(token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|authorization|bearer|credential\w*|client[_-]?secret|signature|key)\b"
-HARMLESS_WORDS = r"(?i)\b(sha1|sha256|sha512|md5|checksum|digest|integrity|commit|revision|uuid|guid|etag|hash|example|sample|dummy|placeholder|test|id|file|path|url|href|src)\b"
+# Words near a finding that speak for or against a secret, and parts of paths that hold samples. A "_" parts words.
+_KEYS = r"token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credential\w{0,4}|client[_-]?secret|signature|key"
+_END = r"(?![\p{L}\p{N}])"
+# A run of 20 characters, "=" only as its padding; or what is assigned to a key word, from 8 characters on.
+_LONG = rf"(?<![\p{{L}}\p{{N}}+/_-])[A-Za-z0-9+/_-]{{20,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?{_END}"
+_ASSIGNED = rf"(?<=[:=]\s{{0,3}}[\"'`]?)(?<=(?i:{_KEYS})[\"'`]?\s{{0,3}}[:=]\s{{0,3}}[\"'`]?)(?![:=\s\"'`])[^\s\"'`,;<>(){{}}\[\]]{{8,}}+"
+CANDIDATE = f"{_LONG}|{_ASSIGNED}"
+SECRET_WORDS = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_KEYS}){_END}"
+HARMLESS_WORDS = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:sha1|sha256|sha512|md5|checksum|digest|integrity|commit|revision|uuid|guid|etag|hash|example|sample|dummy|placeholder|test|id|file|path|url|href|src){_END}"
 SAMPLE_PATHS = r"(?i)(test|example|sample|fixture|doc|mock|spec|vendor|node_modules|\.lock)"
 # Frequent pieces of words, the dictionary of the coverage feature.
 WORD_PIECES = "ation|tion|ment|ing|the|and|ent|ion|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|oft|ith|ver|ein|ich|sch|und|die|der|che|gen|ten|ung|que|les|eur|our|ant|con|com|por|ado|ido|cio|ell|out|age|ous|ive|ble|able|user|name|file|path|page|index|image|class|data|list|view|model|table|config|server|client|http|https|www"
@@ -19,11 +24,17 @@ FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "vowel_pair
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """A row per candidate: doc_id, path, n (from 0), candidate, before (60 characters), after (20 characters)."""
+    """A row per candidate: doc_id, path, n (from 0), candidate, before (60 characters), after (20 characters).
+
+    Each segment of a dotted token is a candidate; its ``before`` ends where the token begins.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
-    rows = rows.select("doc_id", "path", F.posexplode("found").alias("n", "candidate"), "gaps")
-    return rows.select("doc_id", "path", "n", "candidate", F.expr("right(gaps[n], 60)").alias("before"), F.expr("left(gaps[n + 1], 20)").alias("after"))
+    # A candidate has 8 characters at least, so what stands before is within the last ten; 200 characters of each will do.
+    earlier = "array_join(transform(sequence(greatest(n - 10, 0), n), k -> concat(if(k > greatest(n - 10, 0), right(found[k - 1], 200), ''), right(gaps[k], 200))), '')"
+    token = r"regexp_replace({}, '(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]+[.])+$', '')"
+    each = f"transform(found, (c, n) -> struct(n, c as candidate, right({token.format(earlier)}, 60) as before, left(concat(left(gaps[n + 1], 20), left(coalesce(get(found, n + 1), ''), 20)), 20) as after))"
+    return rows.select("doc_id", "path", F.inline(F.expr(each)))
 
 
 def _share(pattern: str) -> Column:
@@ -65,19 +76,27 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     def one_of(salt: int, *values: str) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
 
-    kind = F.pmod(F.col("id"), F.lit(8))
+    kind = F.pmod(F.col("id"), F.lit(10))
     hexes, mixed = F.substring(h, 1, 64).substr(F.lit(1), n), b64.substr(F.lit(1), n)
-    key = one_of(3, 'token = "', 'secret = "', "api_key: ", "password=", 'access_key = "', "Authorization: Bearer ", 'client_secret: "', "auth_token='")
-    plain = one_of(4, "the ", "of a ", "and then ", "", "see ")
-    digest = one_of(5, "sha256: ", "checksum ", "commit ", "md5 = ", "uuid: ", "etag: ", "integrity=")
+    key = one_of(3, 'token = "', 'secret = "', "api_key: ", "password=", 'access_key = "', "Authorization: Bearer ", 'client_secret: "', "auth_token='", "token=", "API_SECRET=", 'AWS_SECRET_ACCESS_KEY = "', "AWS_SECRET_ACCESS_KEY=", '"password": "', "token=SG.")
+    assigned = one_of(10, 'password = "', "password=", "DB_PASSWORD=", "secret: ", 'token: "', "pwd='", "auth_token=", '"api_key": "')
+    plain = one_of(4, "the ", "of a ", "and then ", "", "see ", "at www.", "import org.")
+    digest = one_of(5, "sha256: ", "checksum ", "commit ", "md5 = ", "uuid: ", "etag: ", "integrity=", "commit=")
     upper = F.when(at < 10, F.upper(hexes)).otherwise(hexes)
+    short = (F.lit(8) + F.pmod(F.xxhash64("id", F.lit(11)), F.lit(12))).cast("int")
+    mark = one_of(12, "", "", "!", "#", "$", "@", "%")
+    chosen = F.concat(b64.substr(F.lit(3), short), mark, F.pmod(F.xxhash64("id", F.lit(13)), F.lit(100)).cast("string"))
+    named = F.when(at < 60, words.substr(F.lit(1), short)).otherwise(one_of(14, "required", "os.environ", "your_password", "changeme_please", "undefined", "settings.password", "process.env.TOKEN", "${PASSWORD}", "self.secret_key", "********"))
     rows_ = spark.range(0, rows, 1, 4)
-    candidate = F.when(kind.isin(0, 1), upper).when(kind.isin(2, 3), mixed).when(kind == 4, words).when(kind == 5, hexes).when(kind == 6, F.concat_ws("/", words.substr(1, 9), words.substr(10, 9), words.substr(3, 12))).otherwise(F.repeat(one_of(6, "x", "0", "ab", "-", "=", "1234567890"), 30).substr(F.lit(1), n))
-    before = F.when(kind.isin(0, 1, 2, 3), key).when(kind == 5, digest).when(kind == 7, F.when(at < 50, key).otherwise(plain)).otherwise(F.when(at < 5, key).otherwise(plain))
-    after = F.when(F.expr("right(b, 1)") == '"', '" ').otherwise(one_of(7, " ", ".", "\n", ""))
+    candidate = F.when(kind.isin(0, 1), upper).when(kind.isin(2, 3), mixed).when(kind == 4, words).when(kind == 5, hexes).when(kind == 6, F.concat_ws("/", words.substr(1, 9), words.substr(10, 9), words.substr(3, 12))).when(kind == 7, F.repeat(one_of(6, "x", "0", "ab", "-", "_", "1234567890"), 30).substr(F.lit(1), n)).when(kind == 8, chosen).otherwise(named)
+    before = F.when(kind.isin(0, 1, 2, 3), key).when(kind == 5, digest).when(kind == 7, F.when(at < 50, key).otherwise(plain)).when(kind.isin(8, 9), assigned).otherwise(F.when(at < 5, key).otherwise(plain))
+    after = F.when(F.expr("right(b, 1)") == '"', '" ').otherwise(one_of(7, " ", "\n", ""))
     path = F.when(at < 15, one_of(8, "tests/a.py", "docs/readme.md", "example.cfg")).otherwise(one_of(9, "src/app.py", "src0", "src7", "config.yml", ""))
-    out = rows_.select("id", candidate.alias("candidate"), F.concat(plain, before).alias("before"), before.alias("b"), path.alias("path"), (kind < 4).cast("double").alias("label"))
-    return out.select("candidate", "before", after.alias("after"), "path", "label").where(F.length("candidate") >= 20)
+    out = rows_.select("id", candidate.alias("candidate"), F.concat(plain, before).alias("before"), before.alias("b"), path.alias("source"), kind.isin(0, 1, 2, 3, 8).cast("double").alias("label"))
+    docs = out.select(F.struct("candidate", "label").alias("doc_id"), F.concat("before", "candidate", after).alias("text"), "source")
+    # As scan() finds them; a key's name is no secret.
+    found = candidates(docs)
+    return found.select("candidate", "before", "after", "path", F.when(F.contains("doc_id.candidate", "candidate"), F.col("doc_id.label")).otherwise(0.0).alias("label"))
 
 
 def _vectors(found: DataFrame) -> DataFrame:
