@@ -361,6 +361,16 @@ def test_html():
     assert html_text.main_text("<p>one <b>two</b></p>") == "one two"
 
 
+def test_html_text_decides():
+    good = "This is a sentence of the text that is long enough to count as good, with the words that the language has and that we look for in it, and it goes on for a while so that there is no doubt about it at all, is there."
+    card = "<article><h3><a href=x>Another story</a></h3><p>Read it.</p></article>"
+    assert html_text.main_text(f"<body>{card}<div><h1>The title</h1><p>{good}</p><p>Short.</p><p>{good}</p></div>{card}<p>Imprint</p></body>").split("\n") == ["The title", good, "Short.", good]
+    assert html_text.main_text(f"<div>Menu</div><div><h2>The title</h2><p>{good}</p></div>").split("\n")[-2:] == ["The title", good]  # no article at all
+    linked = "<a href=y>The whole of this paragraph is a link to the page that it is about, as some papers have it.</a>"
+    assert html_text.main_text(f"<article><h1><a href=x>The title</a></h1><p>{good}</p><p>{linked}</p><p>{good}</p></article>").split("\n") == ["The title", good, linked.split(">")[1].removesuffix("</a"), good]
+    assert html_text.main_text(f'<div class="layout sidebar"><article><h1>The title</h1><p>{good}</p></article><div class="comments"><p>{good}</p></div></div>').split("\n") == ["The title", good]
+
+
 def test_html_query(spark, tmp_path):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x</p></article>"), (3, "u", "<article>" + "<p>word</p>" * 20_000 + "</article>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

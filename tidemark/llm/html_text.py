@@ -46,48 +46,56 @@ P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_HIGH = 70, 200, 0.12, 0.2, 0.2
 
 
-def _chrome(name: str, tag: str, within: bool) -> bool:
-    """Does an element hold menus, notices and the like? ``within``: it stands in an article."""
+def _chrome(name: str, tag: str, within: bool) -> str:
+    """Does an element hold menus, notices and the like: "sure", "named" so by class, id or role, or ""? ``within``: it stands in an article."""
     if name in CHROME and not (name == "header" and within):
-        return True
+        return "sure"
     if name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    named = ""
     for key, *values in ATTRIBUTE.findall(tag):
         value = values[0] or values[1] or values[2]
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "sure"
         if key in ("class", "id", "role"):
             words = STATES.sub(" ", re.sub(r"[_\s]", " ", value))
             if MARKED.search(words) or not within and TOP.search(words):
-                return True
-    return False
+                named = "named"
+    return named
 
 
 class Block:
-    __slots__ = ("text", "linked", "chrome", "article", "heading")
+    """``article``: the number of the outermost article or main, 0 outside; ``named``: numbers of the elements around it that are named as chrome."""
 
-    def __init__(self, text: str, linked: int, chrome: bool, article: bool, heading: bool):
-        self.text, self.linked, self.chrome, self.article, self.heading = text, linked, chrome, article, heading
+    __slots__ = ("text", "linked", "chrome", "article", "heading", "named")
+
+    def __init__(self, text: str, linked: int, chrome: bool, article: int, heading: bool, named: tuple[int, ...] = ()):
+        self.text, self.linked, self.chrome, self.article, self.heading, self.named = text, linked, chrome, article, heading, named
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, each with its linked characters and where it stands."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, str]] = []
     state = {"chrome": 0, "article": 0, "a": 0, "heading": 0}
+    named_in: list[int] = []
+    count = 0  # of elements so far
+    article = 0
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             linked = sum(len("".join(t.split())) for t, link in parts if link)
-            out.append(Block(text, linked, state["chrome"] > 0, state["article"] > 0, state["heading"] > 0))
+            out.append(Block(text, linked, state["chrome"] > 0, article if state["article"] else 0, state["heading"] > 0, tuple(named_in)))
         parts.clear()
 
     def leave() -> None:
         name, chrome = stack.pop()
-        state["chrome"] -= chrome
+        state["chrome"] -= chrome == "sure"
+        if chrome == "named":
+            named_in.pop()
         state["article"] -= name in ("article", "main")
         state["a"] -= name == "a"
         state["heading"] -= name in HEADINGS
@@ -138,24 +146,31 @@ def blocks(page: str) -> list[Block]:
             continue
         chrome = _chrome(name, tag, state["article"] > 0)
         stack.append((name, chrome))
-        state["chrome"] += chrome
-        state["article"] += name in ("article", "main")
+        count += 1
+        state["chrome"] += chrome == "sure"
+        if chrome == "named":
+            named_in.append(count)
+        if name in ("article", "main"):
+            article = article if state["article"] else count
+            state["article"] += 1
         state["a"] += name == "a"
         state["heading"] += name in HEADINGS
     flush()
     return out
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    """good, bad, near (fairly good) or short, by place, length, link density and stop-word density."""
-    if block.chrome or has_article and not block.article:
+def first_pass(block: Block) -> str:
+    """good, bad, near (fairly good) or short, by length, link density and stop-word density; in an article less of each will do."""
+    if block.chrome:
         return "bad"
-    n = len(block.text)
-    if block.linked / n > LINKS_HIGH and not (has_article and block.article and n > LENGTH_HIGH and block.linked / n < 0.5):
-        return "bad" if block.linked / n > 0.5 or not has_article else "short"
+    n, links = len(block.text), block.linked / len(block.text)
     words = block.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if has_article and block.article:
+    if links > LINKS_HIGH and not block.heading and not (block.article and n > LENGTH_HIGH and links < 0.5):
+        if block.article:
+            return "near" if n >= LENGTH_LOW and stops >= STOP_LOW else "bad" if links > 0.5 else "short"
+        return "bad"
+    if block.article:
         return "good" if n >= LENGTH_LOW and stops >= STOP_LOW else "near" if n >= LENGTH_LOW else "short"
     if n < LENGTH_LOW:
         return "short"
@@ -164,25 +179,45 @@ def first_pass(block: Block, has_article: bool) -> str:
     return "near" if stops >= STOP_LOW else "bad"
 
 
+def judged(found: list[Block]) -> list[str]:
+    """The first pass over all blocks. An element's name does not make it chrome if it holds more than half of the good
+    text, and the page's article or first heading too, or else all good text."""
+    labels = [first_pass(b) for b in found]
+    if not any(b.named for b in found):
+        return labels
+    good: dict[int, int] = {}
+    total, inside = 0, set()
+    first = next((b for b in found if b.heading and not b.chrome), None)
+    for b, label in zip(found, labels, strict=True):
+        size = len(b.text) * (label == "good")
+        total += size
+        for k in b.named:
+            good[k] = good.get(k, 0) + size
+            if b is first or b.article > k:
+                inside.add(k)
+    layout = {k for k, size in good.items() if 2 * size > total and (k in inside or size == total)}
+    return ["bad" if set(b.named) - layout else label for b, label in zip(found, labels, strict=True)]
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Undecided blocks take the label of the nearest decided ones on both sides.
 
     Between two good blocks a block is good and between two bad ones bad. Where they differ, a near
-    block is good, and a short one follows the closer side, in an article the good one. A heading
-    follows what comes after it. With nothing decided, all are good.
+    block is good, and a short one follows the closer side. A heading follows what comes after it. In an
+    article with a good block, or where no block of the page is good, all undecided are good; in
+    another article (a card) only near ones are. An article parts texts: to the blocks outside, those in it count as bad.
+    With nothing decided and no article, all are good.
     """
     n = len(labels)
+    rich = {b.article for b, label in zip(found, labels, strict=True) if label == "good"}
+    has_article = any(b.article and label != "bad" for b, label in zip(found, labels, strict=True))
     before, after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        if labels[i] in ("good", "bad"):
-            last = (i, labels[i])
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] in ("good", "bad"):
-            last = (i, labels[i])
+    for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last = None
+        for i in order:
+            side[i] = last
+            if labels[i] in ("good", "bad") or found[i].article:
+                last = (i, "bad" if found[i].article else labels[i])
     out = []
     for i, label in enumerate(labels):
         if label in ("good", "bad"):
@@ -191,11 +226,13 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         sides = [s for s in (before[i], after[i]) if s]
         names = {s[1] for s in sides}
         if found[i].article:
-            out.append(True)
+            out.append(found[i].article in rich or not rich or label == "near")
+        elif has_article and 0 not in rich:
+            out.append(False)
         elif not names:
             out.append(True)
         elif len(names) == 1 and len(sides) == 2:
-            out.append(names == {"good"} or label == "near" and found[i].article)
+            out.append(names == {"good"})
         elif label == "near":
             out.append("good" in names)
         elif found[i].heading and after[i]:
@@ -208,8 +245,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by a line break; "" for a null, empty or textless page."""
     found = blocks(page or "")
-    has_article = any(b.article and not b.chrome for b in found)
-    keep = second_pass(found, [first_pass(b, has_article) for b in found])
+    keep = second_pass(found, judged(found))
     return "\n".join(b.text for b, good in zip(found, keep, strict=True) if good)
 
 
