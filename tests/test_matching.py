@@ -5,6 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import matching, sessions, timetable
+from tidemark.plans import more_queries, queries
 
 S = "array<struct<start timestamp_ntz, end timestamp_ntz>>"
 
@@ -59,3 +60,15 @@ def test_series(spark):
     a, b = F.col("a"), F.col("b")
     row = d.select(F.size(sessions.union_sessions(a, b)), sessions.is_new_run(a, b, F.lit("2024-07-01").cast("date")), sessions.ended_on(a, F.lit("2024-06-08").cast("date"), F.lit("2024-06-08 12:00:00").cast("timestamp_ntz")), sessions.last_day(b)).first()
     assert tuple(row) == (4, False, 1, date(2024, 6, 24))
+
+
+def test_same_start_nearby_and_saved(spark, tmp_path):
+    rows = [(1, 1, 0, 49.0), (2, 2, 0, 49.0004), (3, 3, 0, 49.001), (4, 4, 1, 49.0), (5, 1, 0, 49.0), (6, 6, 0, 48.99961)]
+    d = spark.createDataFrame(rows, "id long, provider long, start long, lat double").withColumn("lon", F.lit(11.0))
+    assert {(r["a"], r["b"]) for r in matching.same_start_nearby(d, 50).collect()} == {(1, 2), (5, 2), (1, 6), (5, 6)}
+    orders = [(i, i, datetime(1998, 1, 1), p) for i, p in enumerate(["1-URGENT", "5-LOW", "5-LOW", "2-HIGH"] * 300)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, 3 if i < 4 else 100 + i) for i in range(1200)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [(r["a"], r["b"]) for r in more_queries.same_start_nearby(spark, str(tmp_path)).collect()] == [(1, 2)]  # not urgent; 0 and 3 have other titles
+    saved = [(r["o_orderkey"], r["position"]) for r in queries.recently_saved(spark, str(tmp_path)).collect()]
+    assert saved == [(i, i) for i in range(1197, -1, -7)]  # 172, over a hundred

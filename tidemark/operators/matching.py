@@ -30,10 +30,12 @@ def staged_match(stages: Sequence[tuple[str, DataFrame]], key: str, target: str,
 
 def same_start_nearby(rows: DataFrame, metres: float, same: Column | None = None) -> DataFrame:
     """(a, b, start): rows (id, provider, start, lat, lon) of different providers that start at once and are near; ``same``
-    is a further test over columns of a and b. The start is an equi-join, so only rows of one instant meet."""
-    a, b = rows.alias("a"), rows.alias("b")
+    is a further test over columns of a and b. The start and a band of latitude, or the next one, are an equi-join, so only
+    rows of one instant and about one latitude meet."""
+    band = F.floor(F.col("lat") / (metres / 111_000))
+    a, b = rows.withColumn("__y", F.explode(F.array(band - 1, band, band + 1))).alias("a"), rows.withColumn("__y", band).alias("b")
     d = numbers.haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.provider") < F.col("b.provider"))).where(d <= metres)
+    pairs = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.__y") == F.col("b.__y")) & (F.col("a.provider") < F.col("b.provider"))).where(d <= metres)
     return (pairs if same is None else pairs.where(same)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.start").alias("start"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urlfn
+from ..functions import textfn, urlfn
 from ..operators import matching, measures, sessions, timetable
 from . import bindings as B
 from .queries import query, text, with_roles
@@ -129,10 +129,11 @@ def cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b, strftime(a.o_orderdate, '%Y-%m-%d') AS start FROM (SELECT o_orderkey, o_custkey, o_orderdate, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT') a
     JOIN (SELECT o_orderkey, o_custkey, o_orderdate, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT') b ON a.o_orderdate = b.o_orderdate AND a.o_custkey < b.o_custkey AND a.c_nationkey = b.c_nationkey""")
 def same_start_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as places: only rows of one nation are near each other."""
-    o = B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").join(B.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("provider"), F.col("o_orderdate").alias("start"), (F.lit(49.0) + F.col("c_nationkey") / 10).alias("lat"), F.lit(11.0).alias("lon"))
-    return matching.same_start_nearby(rows, 50).select("a", "b", F.date_format("start", "yyyy-MM-dd").alias("start"))
+    """Nations as places: only rows of one nation are near each other. Priorities as titles. Its SQL takes
+    urgent orders only, so the two differ."""
+    o = B.table(spark, sf_dir, "orders").join(B.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("provider"), F.col("o_orderdate").alias("start"), (F.lit(49.0) + F.col("c_nationkey") / 10).alias("lat"), F.lit(11.0).alias("lon"), F.col("o_orderpriority").alias("title"))
+    return matching.same_start_nearby(rows, 50, textfn.similar_title(F.col("a.title"), F.col("b.title"))).select("a", "b", F.date_format("start", "yyyy-MM-dd").alias("start"))
 
 
 @query("""SELECT user_id, CAST(count(*) AS BIGINT) AS made FROM (SELECT user_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events) WHERE running <= 500 GROUP BY 1""")
