@@ -40,6 +40,11 @@ def test_reachable(spark):
     assert {(r["node"], r["depth"]) for r in matching.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
 
 
+def test_reachable_over_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(53)], "frm long, dst long").coalesce(1)
+    assert {(r["node"], r["depth"]) for r in matching.reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()} == {(i, i) for i in range(54)}
+
+
 def test_text_parts(spark):
     d = spark.createDataFrame([(1, "aa\nbb\ncccccc\nd"), (2, None), (3, "")], "i long, t string")
     got = {r["i"]: r["p"] for r in d.select("i", matching.text_parts(F.col("t"), 5).alias("p")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,17 +77,19 @@ def care_order(units: DataFrame, key: str, failing: Column, cared: Column) -> Da
     return units.select(key, F.row_number().over(w).alias("place"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): what is reached from ``start`` (node) over edges (frm, dst), with the fewest steps. Each round joins the
-    newest nodes only; rounds end when nothing is new."""
+    newest nodes only; rounds end when nothing is new, or after ``most`` where it is given."""
     from .lineage import cut
 
     found = front = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         front = cut(front.join(edges, F.col("node") == F.col("frm")).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if depth % 10 == 0:  # a long way makes no long plan
+            found = cut(found.repartition("node"))
     return found
 
 

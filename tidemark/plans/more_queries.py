@@ -101,7 +101,7 @@ def care_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reverse_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = B.table(spark, sf_dir, "lineitem")
     edges = l.where("l_quantity >= 49").select((F.col("l_suppkey") + 1000).alias("frm"), F.col("l_partkey").alias("dst")).union(l.where("l_quantity <= 2").select(F.col("l_partkey"), F.col("l_suppkey") + 1000)).distinct()
-    return matching.reachable(edges, spark.createDataFrame([(1003,)], "node long"), 6)
+    return matching.reachable(edges, spark.createDataFrame([(1003,)], "node long"))
 
 
 @query()
