@@ -334,11 +334,6 @@ def test_near_duplicates_of_all_and_none(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
-def test_recall_bound():
-    depth = jaccard.prefix_depth(0.8, 0.999)
-    assert jaccard.recall(0.8, depth) >= 0.999 and (depth == jaccard.DEPTH or jaccard.recall(0.8, depth + 1) < 0.999)
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

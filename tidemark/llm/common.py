@@ -38,6 +38,11 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has at most ``rows`` rows, else for an ordinary join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none) as an array: runs without ASCII white space."""
     parts = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE)), WORD_BREAK, -1)

@@ -7,31 +7,45 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+HEAVY = 500  # at most twice so many centres hold a thousandth of the rows or more
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of ``least`` (u, m, n). Centres with many edges, under a thousand of them, are broadcast, so that
+    none of them gathers its edges in one task; the others are joined."""
+    bar = max(64, rows // HEAVY)
+    heavy = F.broadcast(least.where(F.col("n") >= bar).select("u", "m"))
+    light = least.where(F.col("n") < bar).select("u", "m")
+    marked = edges.join(heavy.withColumnRenamed("m", "__m"), "u", "left")
+    return marked.where("__m is not null").select("u", "v", F.col("__m").alias("m")).unionByName(marked.where("__m is null").select("u", "v").join(light, "u"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select("v", "u").toDF("u", "v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both, least, 2 * rows).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(down, least, rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every end of an edge (u, v: long) the smallest id that it is connected with.
 
-    Each round is written to the shared folder; the rounds grow with the logarithm of a component's width.
+    Each round is written to the shared folder; the rounds grow with the logarithm of a component's width. Loops (u = v) and
+    repeated edges make no difference; without edges there are no rows.
     """
     now = written(edges.select("u", "v").where("u != v").distinct())
-    seen = None
-    while True:
-        now = written(_small_star(_large_star(now)).where("u != v").distinct())
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    rows = now.count()
+    while rows:
+        now = written(_small_star(_large_star(now, rows), rows).where("u != v").distinct())  # a large star has no more rows
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        # Done when every end points at one other, which points at none.
+        left = ends.agg(F.sum("up").alias("rows"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).alias("open")).first()
+        rows = left["rows"] if left["open"] else 0
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 from .components import components
 
 SHINGLE = 5  # words
 TREES, DEPTH = 20, 6  # prefix tries of a signature, and values in a trie's longest prefix
-BLOCK = 256  # texts of a large candidate group that one task compares with as many others
+BLOCK, BLOCK_VALUES = 256, 1 << 21  # texts of a large group, and shingles of theirs, that one task compares with as many others
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,8 +71,8 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(windows(text))
 
 
-def prefixes(of: np.ndarray) -> np.ndarray:
-    """Per tree the longest prefix of the signature: DEPTH values of 8 bits, the first in the top bits."""
+def sketch(of: np.ndarray) -> bytes:
+    """The signature: one byte per minhash value, DEPTH of them for each of TREES tries."""
     low = (of >> np.uint64(32)).astype(np.uint32) ^ of.astype(np.uint32)
     values = np.full(TREES * DEPTH, 2**32 - 1, dtype=np.uint32)
     for lo in range(0, len(low), 2048):
@@ -80,36 +81,50 @@ def prefixes(of: np.ndarray) -> np.ndarray:
         h *= np.uint32(0x85EBCA6B)
         np.minimum(values, h.min(axis=1), out=values)
     values = _mix(values.astype(np.uint64) + np.arange(TREES * DEPTH, dtype=np.uint64) * _BASE) >> np.uint64(56)
-    tree = values.reshape(TREES, DEPTH)
-    key = np.zeros(TREES, dtype=np.uint64)
-    for d in range(DEPTH):
-        key = (key << np.uint64(8)) | tree[:, d]
-    return key.astype(np.int64)
+    return values.astype(np.uint8).tobytes()
 
 
-def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+def recall(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
     """Share of pairs of this similarity that agree on a prefix of ``depth`` values in a tree at least."""
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(similarity: float, target: float) -> int:
-    """The tries' prefixes are shortened from DEPTH until pairs at the threshold itself reach the target."""
-    depth = DEPTH
-    while depth > 1 and recall(similarity, depth) < target:
-        depth -= 1
-    return depth
+def bounds(threshold: float) -> tuple[int, int]:
+    """(low, high) counts of equal sketch values. Below ``low`` a pair is not at the threshold (by over four standard
+    deviations); a text that agrees with a pivot on ``high`` finds all its partners among those that agree with it on ``low``,
+    as Jaccard distance is a metric."""
+    n = TREES * DEPTH
+    low = threshold - 4 * (threshold * (1 - threshold) / n) ** 0.5
+    high = min(1.0, low + (1 - threshold) + 4 * (0.09 / n) ** 0.5)
+    return int(np.floor(low * n)), int(np.ceil(high * n))
 
 
-def _pairs(keys_a: np.ndarray, keys_b: np.ndarray) -> np.ndarray:
-    """Which pairs agree on a prefix in a tree at least."""
-    out = np.zeros((len(keys_a), len(keys_b)), dtype=bool)
-    for t in range(keys_a.shape[1]):
-        out |= keys_a[:, t][:, None] == keys_b[:, t][None, :]
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), TREES * DEPTH)
+
+
+def _meet(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Which pairs of sketches agree on a prefix of ``depth`` values in a tree at least."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    if not depth or depth > DEPTH:
+        return out | (not depth)
+    weights = np.int64(256) ** np.arange(depth, dtype=np.int64)
+    keys = [x.reshape(len(x), TREES, DEPTH)[:, :, :depth].astype(np.int64) @ weights for x in (a, b)]
+    for t in range(TREES):
+        out |= keys[0][:, t][:, None] == keys[1][:, t][None, :]
+    return out
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal values of every pair of sketches."""
+    out = np.zeros((len(a), len(b)), dtype=np.int16)
+    for k in range(a.shape[1]):
+        out += a[:, k][:, None] == b[:, k][None, :]
     return out
 
 
-def verified(left: list[np.ndarray], right: list[np.ndarray], candidates: np.ndarray, threshold: float) -> np.ndarray:
-    """Of the candidate pairs, those whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
+def similarities(left: list[np.ndarray], right: list[np.ndarray], candidates: np.ndarray, threshold: float) -> np.ndarray:
+    """Jaccard similarities of the shingle sets of candidate pairs, 0 for those under ``threshold``."""
     sizes_a, sizes_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     common = np.zeros(candidates.shape, dtype=np.float32)
     if candidates.sum() * 8 < candidates.size:
@@ -131,7 +146,8 @@ def verified(left: list[np.ndarray], right: list[np.ndarray], candidates: np.nda
                 hold.append(m)
             common += hold[0] @ hold[1].T
     union = sizes_a[:, None] + sizes_b[None, :] - common
-    return candidates & (common >= threshold * union - 1e-6) & (union > 0)
+    linked = candidates & (common >= threshold * union - 1e-6) & (union > 0)
+    return np.where(linked, common / np.maximum(union, 1), 0.0)
 
 
 def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,85 +169,182 @@ def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(rows: pd.DataFrame, threshold: float) -> Iterator[tuple[int, int | None, int]]:
-    """Of one task of a candidate group: (text, another it is linked to or none, documents linked)."""
-    left = rows[rows["side"] == 0]
-    right = rows[rows["side"] == 1] if (rows["side"] == 1).any() else left
-    keys = [np.array(x["keys"].tolist(), dtype=np.int64).reshape(len(x), -1) for x in (left, right)]
-    sets = [[shingles(t) for t in x["text"]] for x in (left, right)] if right is not left else [[shingles(t) for t in left["text"]]] * 2
-    found = _pairs(*keys)
-    if right is left:
-        np.fill_diagonal(found, False)
-    links = verified(sets[0], sets[1], found, threshold)
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two blocks of a task, and whether they are one and the same."""
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    return (left, right, False) if len(right) else (left, left, True)
+
+
+def _alike(rows: pd.DataFrame, low: int) -> list[tuple[int, int]]:
+    """Of one task of a mixed node: links between texts whose sketches agree on ``low`` values, as a forest."""
+    left, right, _ = _sides(rows)
+    a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
+    near = _agree(_sketches(left["sketch"]), _sketches(right["sketch"])) >= low
+    return _forest([(int(a[i]), int(b[j])) for i, j in zip(*np.nonzero(near), strict=True) if a[i] != b[j]])
+
+
+def _compare(rows: pd.DataFrame, threshold: float, depth: int) -> Iterator[tuple[int, int | None, int, int, float]]:
+    """Of one task of a group: per text (it, none, documents linked, texts linked, the sum of their chances to be found), and
+    per link that joins what was apart (text, text, 0, 0, 0).
+
+    Candidates agree on ``depth`` values of a tree, but nowhere on more, as these were met before; one of the two is open."""
+    left, right, same = _sides(rows)
+    sk = [_sketches(x["sketch"]) for x in (left, right)]
+    active = [x["active"].to_numpy(dtype=bool) for x in (left, right)]
+    candidates = _meet(*sk, depth) & ~_meet(*sk, depth + 1) & (active[0][:, None] | active[1][None, :])
+    if same:
+        np.fill_diagonal(candidates, False)
+    sets = [[np.asarray(v, dtype=np.int64) for v in x["shingles"]] for x in ((left,) if same else (left, right))]
+    found = similarities(sets[0], sets[-1], candidates, threshold)
+    links, chance = found > 0, np.where(found > 0, recall(found, depth), 0.0)
     ids, weights = [x["rep"].to_numpy() for x in (left, right)], [x["copies"].to_numpy() for x in (left, right)]
-    for i, n in enumerate((links * weights[1][None, :]).sum(axis=1)):
-        yield int(ids[0][i]), None, int(n)
-    if right is not left:
-        for j, n in enumerate((links * weights[0][:, None]).sum(axis=0)):
-            yield int(ids[1][j]), None, int(n)
+    for side in (0,) if same else (0, 1):
+        axis = 1 - side
+        documents = (links * (weights[1][None, :] if side == 0 else weights[0][:, None])).sum(axis=axis)
+        for i, n, k, p in zip(ids[side], documents, links.sum(axis=axis), chance.sum(axis=axis), strict=True):
+            if k:
+                yield int(i), None, int(n), int(k), float(p)
     for a, b in _forest([(int(ids[0][i]), int(ids[1][j])) for i, j in zip(*np.nonzero(links), strict=True)]):
-        yield a, b, 0
+        yield a, b, 0, 0, 0.0
+
+
+def _tasks(members: DataFrame, blocks: DataFrame, columns: list[str], per_task: int) -> DataFrame:
+    """Deals ``members`` (grp, rep, ``columns``) to tasks: a group's ``blocks`` (grp, n, blocks) meet two by two, each text
+    in its own block and with each other one. Small groups share a task of about ``per_task`` texts; a large group's tasks are dealt
+    out one by one. Adds low, high, side and task."""
+    n = blocks.agg(F.sum("n")).first()[0] or 0
+    spread = F.expr("transform(sequence(0, blocks - 1), b -> named_struct('low', least(block, b), 'high', greatest(block, b), 'side', if(block <= b, 0, 1)))")
+    placed = members.join(blocks.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("at", F.explode(spread)).select("grp", "rep", *columns, "blocks", "at.*")
+    shared = F.pmod(F.xxhash64("grp"), F.lit(max(1, n // per_task)))
+    return placed.withColumn("task", F.when(F.col("blocks") == 1, shared).otherwise(F.xxhash64("grp", "low", "high")))
+
+
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1).astype(np.int32))], names=["rep", "pivot", "agree"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """(rep, grp): texts that may be linked, from the tries' nodes at ``depth``.
+
+    Each text of a node is held against the node's pivot, its smallest text, by their sketches. Where all agree enough the node is
+    connected. In a mixed node the texts not close to the pivot meet one another in blocks. So no chain of chance meetings
+    makes a group, and no node is one task.
+    """
+    low, high = bounds(threshold)
+    at = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sketch, t * {DEPTH} + 1, {depth}))")
+    nodes = texts.select("rep", "active", F.posexplode(at).alias("tree", "node"))
+    met = nodes.groupBy("tree", "node").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.bool_or("active").alias("open")).where("pivot < last and open")
+    held = written(nodes.join(met.select("tree", "node", "pivot"), ["tree", "node"]).where("rep != pivot").select(F.xxhash64("tree", "node").alias("grp"), "rep", "pivot"))
+    sketches = texts.select("rep", "sketch")
+    pairs = held.select("rep", "pivot").distinct().join(sketches, "rep").join(sketches.toDF("pivot", "pivot_sketch"), "pivot")
+    near = written(pairs.select("rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_likeness, "rep long, pivot long, agree int"))
+    links = near.where(F.col("agree") >= low).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    mixed = held.join(near.where(F.col("agree") < low).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp").distinct()
+    rest = written(held.join(mixed, "grp", "left_semi").join(near.where(F.col("agree") < high).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp", "rep").distinct())
+    if not rest.isEmpty():
+        sizes = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
+        tasks = _tasks(rest.join(sketches, "rep"), sizes, ["sketch"], 4096)
+
+        def alike(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([x for _, part in rows.groupby(["grp", "low", "high"]) for x in _alike(part, low)], columns=["u", "v"]).astype("int64")
+
+        links = links.unionByName(tasks.groupBy("task").applyInPandas(alike, "u long, v long"))
+    return components(links).withColumnsRenamed({"id": "rep", "component": "grp"})
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, doc_id: str = "doc_id", text: str = "text", wordless_apart: bool = True) -> DataFrame:
     """A row per document: doc_id, class_id, copy_id, n_links.
 
-    Documents are linked if the sets of their five-word windows have a Jaccard similarity of
-    ``threshold`` or more. ``class_id`` is the smallest doc_id reached over links, ``copy_id``
-    the smallest with the same text, ``n_links`` the number of other documents linked directly.
-    Candidates agree on a trie prefix; of each pair at the threshold a share of ``target`` does, of closer
-    pairs more; every candidate pair is verified exactly. Copies are compared once. Texts
-    that share a prefix with others form groups, which are cut into blocks of bounded size, two to a task;
-    no pair is ever a row, only counts per text and links that join.
-    A text without a word (null, empty) links to nothing and is a class of its own. Rows with a
-    null doc_id are left out; rows of equal doc_id count as one document (the smallest text).
+    Documents are linked if the sets of their five-word windows have a Jaccard similarity of ``threshold`` or more. ``class_id`` is
+    the smallest doc_id reached over links, ``copy_id`` the smallest with the same text, ``n_links`` the number of other documents
+    linked directly.
+
+    Copies are compared once. Candidates agree on a prefix in a trie, first of DEPTH values, then of fewer, for the texts that
+    have not reached ``target``: the mean chance of being found over a text's verified links and one supposed at the threshold. So
+    texts with many close links keep long prefixes, lonely ones have theirs shortened until pairs at the threshold itself reach the
+    target. Every candidate pair is verified exactly, in blocks of bounded size; no pair is ever a row, only counts per text
+    and links that join.
+
+    Words are compared as they stand; a text of fewer than five is one window. Very long texts count in whole. A text without a
+    word (null, empty) links to nothing and is a class of its own, or, if ``wordless_apart`` is false, a copy of the other
+    such texts. Rows with a null doc_id are left out; rows of equal doc_id count as one document (one of their texts). Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    shift = 8 * (DEPTH - prefix_depth(threshold, target))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
+    def digest(t: str, doc: int, worded: bool) -> bytes:
+        return hashlib.md5(t.encode("utf-8", "replace") if worded else b"\0%d" % doc if wordless_apart else b"\0").digest()
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies, keys = [], []
+            copies, sketches = [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py() or ""
                 s = windows(t)
-                copies.append(hashlib.md5(t.encode("utf-8", "replace") if len(s) else b"\0%d" % doc).digest())
-                keys.append(prefixes(s) >> shift if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "keys"])
+                copies.append(digest(t, doc, len(s) > 0))
+                sketches.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "copy", "sketch"])
 
-    signed = written(rows.mapInArrow(sign, "doc_id long, copy binary, keys array<long>"))
+    signed = written(rows.mapInArrow(sign, "doc_id long, copy binary, sketch binary"))
     one = signed.groupBy("doc_id").agg(F.min("copy").alias("copy"))
     classes = written(one.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    first = signed.join(classes.select(F.col("rep").alias("doc_id"), "copy", "copies"), ["doc_id", "copy"]).dropDuplicates(["doc_id"])
-    first = written(first.select(F.col("doc_id").alias("rep"), "copies", "keys"))
-    # A node of a trie that several texts reach; its smallest text stands for it.
-    nodes = first.select("rep", F.posexplode("keys").alias("tree", "key"))
-    met = nodes.groupBy("tree", "key").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").drop("last")
-    edges = nodes.join(met, ["tree", "key"]).where("rep != v").select(F.col("rep").alias("u"), "v")
-    groups = written(components(edges).withColumnsRenamed({"id": "rep", "component": "grp"}))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.join(first, "rep")
-    picked = rows.withColumnRenamed("doc_id", "rep").join(members, "rep").where(F.col("text").isNotNull())
-    n = groups.count()
-    # A text meets its own block and each other one: tasks (low block, high block), side 0 and 1.
-    spread = F.expr("transform(sequence(0, blocks - 1), b -> named_struct('low', least(block, b), 'high', greatest(block, b), 'side', if(block <= b, 0, 1)))")
-    tasks = picked.select("rep", "copies", "keys", "text", "grp", F.explode(spread).alias("at")).select("rep", "copies", "keys", "text", "grp", "at.*")
-    tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("grp", "low", "high"), F.lit(max(1, n // 512))).cast("int"))
-    # Small groups share a task; the parts of a large one are dealt out one by one.
-    tasks = tasks.withColumn("bucket", F.when((F.col("low") == 0) & (F.col("high") == 0), F.col("bucket")).otherwise(-1 - F.col("low") * F.lit(100_003) - F.col("high")))
+    first = signed.where("sketch is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).dropDuplicates(["doc_id"])
+    texts = written(first.select(F.col("doc_id").alias("rep"), "copy", "copies", "sketch", F.lit(True).alias("active")))
+    verified: list[DataFrame] = []
+    for depth in range(DEPTH, 0, -1):
+        found = _verified(rows, texts, depth, threshold)
+        if found is not None:
+            verified.append(found)
+        if recall(threshold, depth) >= target:
+            break
+        if verified:
+            per = reduce(DataFrame.unionByName, verified).where("other is null").groupBy("rep").agg(F.sum("k").alias("k"), F.sum("chance").alias("chance"))
+            settled = per.where((F.col("chance") + float(recall(threshold, depth))) / (F.col("k") + 1) >= target).select("rep", F.lit(False).alias("open"))
+            texts = written(texts.join(settled, "rep", "left").withColumn("active", F.coalesce("open", F.lit(True))).drop("open"))
+    own = classes.select("copy", "rep", "copies")
+    if not verified:
+        per = own.select("copy", "rep", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
+    else:
+        found = reduce(DataFrame.unionByName, verified)
+        linked = components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
+        degree = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
+        per = own.join(degree, "rep", "left").join(linked.withColumnsRenamed({"id": "rep"}), "rep", "left")
+        per = per.select("copy", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return one.join(per, "copy").select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links")
+
+
+def _verified(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame | None:
+    """(rep, other, links, k, chance) of the candidates first met at ``depth``, as _compare gives them; none without a group."""
+    members = written(_groups(texts, depth, threshold).join(texts, "rep"))
+    if members.isEmpty():
+        return None
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, values = [], []
+            for i, (t, copy) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                t = t.as_py() or ""
+                if hashlib.md5(t.encode("utf-8", "replace")).digest() == copy:  # of rows with one doc_id the one that was signed
+                    at.append(i)
+                    values.append(shingles(t).view(np.int64))
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 3, 4, 5, 6)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(values, pa.list_(pa.int64()))], names=["rep", "grp", "copies", "active", "sketch", "shingles"])
+
+    wanted = bounded(members.select("rep", "copy", "grp", "copies", "active", "sketch"), 200_000)
+    with_text = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "text", "copy", "grp", "copies", "active", "sketch")
+    made = written(with_text.mapInArrow(sets, "rep long, grp long, copies long, active boolean, sketch binary, shingles array<long>"))
+    sizes = made.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("values"))
+    sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")))
+    columns = ["copies", "active", "sketch", "shingles"]
+    tasks = _tasks(made, sizes, columns, 512)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["rep", "grp", "low", "high", "side"])
-        out = [x for _, part in rows.groupby(["grp", "low", "high"]) for x in _compare(part, threshold)]
-        table = pd.DataFrame(out, columns=["rep", "other", "links"])
-        return table.astype({"rep": "int64", "other": "Int64", "links": "int64"})
-
-    spanned = tasks.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("grp")).otherwise(0).alias("g")).applyInPandas(lambda rows: compare(rows), "rep long, other long, links long")
-    found = written(spanned)
-    linked = written(components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))))
-    degree = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    per = classes.join(degree, "rep", "left").join(linked.withColumnsRenamed({"id": "rep"}), "rep", "left")
-    per = per.select("copy", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return one.join(per, "copy").select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links")
+        out = [x for _, part in rows.groupby(["grp", "low", "high"]) for x in _compare(part, threshold, depth)]
+        table = pd.DataFrame(out, columns=["rep", "other", "links", "k", "chance"])
+        return table.astype({"rep": "int64", "other": "Int64", "links": "int64", "k": "int64", "chance": "float64"})
+
+    return written(tasks.groupBy("task").applyInPandas(compare, "rep long, other long, links long, k long, chance double"))
