@@ -23,8 +23,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the smallest doc_id; documents without a doc_id stay."""
-    gone = jaccard.near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
+    """One document of each class stays, the smallest doc_id, and one of those that the stage before left without a word;
+    documents without a doc_id stay."""
+    gone = jaccard.near_duplicates(docs, wordless_apart=False).where("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
 
 
