@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, html_text, jaccard, langid, line_dedup, mixing, packing, quality, queries, secrets, sharding, topk
+from tidemark.llm import components, html_text, jaccard, langid, line_dedup, packing, quality, queries, secrets, sharding, topk
 
 LONG = "a line that is certainly longer than forty code points, number "
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -373,39 +373,6 @@ def test_html_query(spark, tmp_path):
     assert got[1]["text"] == got[2]["text"] == "" and got[None]["text"] == "x" and got[3]["n_chars"] == 20_000 * 5 - 1
 
 
-# --- 10
-
-
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5, 2.0) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
-    assert mixing.targets([], [], 1.5, 2.0) == [] and mixing.targets([0, 0], [3, 1], 1.5, 2.0) == [0.0, 0.0]
-
-
-def test_split_quotas():
-    q = [50, 3, 0, 129]
-    m = mixing.split_quotas(q, 16, 1)
-    assert m.sum(axis=0).tolist() == q and m.sum(axis=1).max() - m.sum(axis=1).min() <= 1 and (m >= 0).all()
-
-
-def test_mixing(spark, docs, none):
-    r = np.random.default_rng(2)
-    rows = [(i, prose(i, int(n)), "en", f"s{i % 3}" if i % 7 else None, 1) for i, n in enumerate(r.integers(1, 60, 600))] + [(9999, None, None, None, None)]
-    d = spark.createDataFrame(rows, DOC).repartition(5)
-    got = mixing.mix(d).collect()
-    again = {(x["__doc"], x["copies"]) for x in mixing.mix(d.repartition(2)).collect()}
-    assert {(x["__doc"], x["copies"]) for x in got} == again and len(got) == len(rows)
-    taken, target = Counter(), {}
-    for x in got:
-        assert 0 <= x["copies"] <= 2 and len(x["places"]) == x["copies"]
-        taken[x["__source"]] += x["__size"] * x["copies"]
-        target[x["__source"]] = x["target"]
-    assert sum(target.values()) == pytest.approx(1.5 * sum(x["__size"] for x in got))
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
-    out = mixing.mixed_documents(d)
-    assert out.columns == d.columns and out.count() == sum(x["copies"] for x in got)
-    assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() == len(documents())
-
-
 # --- pipeline
 
 

@@ -62,13 +62,22 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document, and the shard and place that the tree dealt each of its two copies at most."""
     out = mixing.mix(_read(spark, sf_dir, "documents"))
-    return out.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"), "copies")
+    at = lambda k, field: F.try_element_at("places", F.lit(k))[field].alias(f"{field}_{k}")
+    return out.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"), "copies", at(1, "shard"), at(1, "place"), at(2, "shard"), at(2, "place"))
+
+
+def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's size and target, and whether its taken words are within its longest document of it."""
+    out = mixing.mix(_read(spark, sf_dir, "documents")).groupBy(F.col("__source").alias("source"))
+    out = out.agg(F.sum("__size").alias("size"), F.first("target").alias("target"), F.sum(F.col("__size") * F.col("copies")).alias("taken"), F.max("__size").alias("most"))
+    return out.select("source", "size", F.round("target", 6).alias("target"), (F.abs(F.col("taken") - F.col("target")) <= F.greatest("most", F.lit(1))).alias("near"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_search, op2_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_secret_scan, op6_sharding, op7_language_id, op8_ngram_jaccard_join, op9_html_extraction, op10_source_mixing)
+    for f in (op1_topk_search, op2_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_secret_scan, op6_sharding, op7_language_id, op8_ngram_jaccard_join, op9_html_extraction, op10_source_mixing, mix_source_targets)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -106,4 +115,11 @@ ORACLE_SQL: dict[str, str] = {
                NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12
                     OR n_dup_lines * 2 > lines OR capitals * 2 > word_chars OR marks * 4 > n_words) AS kept
         FROM b""",
+    "mix_source_targets": r"""
+        WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents), s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1),
+        w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5 * sum(size) OVER () AS goal FROM s),
+        r AS (SELECT *, 2 * size / w AS stop, row_number() OVER (ORDER BY 2 * size / w, source) AS k FROM w),
+        c AS (SELECT *, (goal - coalesce(sum(2 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM r),
+        f AS (SELECT min(rate) AS rate FROM c WHERE rate < stop)
+        SELECT source, CAST(size AS BIGINT) AS size, round(CAST(CASE WHEN f.rate IS NULL OR f.rate * w >= 2 * size THEN 2 * size ELSE f.rate * w END AS DOUBLE), 6) AS target, true AS near FROM c, f""",
 }
