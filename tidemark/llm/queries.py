@@ -108,18 +108,21 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
                      CAST(length(regexp_replace(w.t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines, len(l.l) AS lines, coalesce(r.n, 0) AS n_repeat_words,
-                     length(regexp_replace(w.t, '[^\p{Lu}]+', '', 'g')) AS capitals, length(regexp_replace(w.t, '[^!]+', '', 'g')) AS marks
+                     length(regexp_replace(w.t, '[^\p{Lu}]+', '', 'g')) AS capitals, length(regexp_replace(w.t, '[^!]+', '', 'g')) AS marks,
+                     len(list_filter(w.w, lambda x: regexp_matches(x, '\p{L}'))) AS lettered,
+                     len(list_filter(l.l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}\x{25cf}]'))) AS bullets, len(list_filter(l.l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS ellipses,
+                     coalesce(list_max(map_values(list_histogram(w.w))), 0) AS top
               FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12
-                    OR n_dup_lines * 2 > lines OR capitals * 2 > word_chars OR marks * 4 > n_words) AS kept
+               NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12 OR n_dup_lines * 2 > lines OR capitals * 2 > word_chars
+                    OR marks * 4 > n_words OR lettered * 10 < n_words * 6 OR bullets * 10 > lines * 9 OR ellipses * 10 > lines * 5 OR top * 10 > n_words * 4) AS kept
         FROM b""",
     "mix_source_targets": r"""
         WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents), s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1),
         w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5 * sum(size) OVER () AS goal FROM s),
         r AS (SELECT *, 2 * size / w AS stop, row_number() OVER (ORDER BY 2 * size / w, source) AS k FROM w),
         c AS (SELECT *, (goal - coalesce(sum(2 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM r),
-        f AS (SELECT min(rate) AS rate FROM c WHERE rate < stop)
+        f AS (SELECT arg_min(rate, k) AS rate FROM c WHERE rate < stop)
         SELECT source, CAST(size AS BIGINT) AS size, round(CAST(CASE WHEN f.rate IS NULL OR f.rate * w >= 2 * size THEN 2 * size ELSE f.rate * w END AS DOUBLE), 6) AS target, true AS near FROM c, f""",
 }
