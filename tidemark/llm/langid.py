@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 14
 CHUNK = 1 << 20  # code points handled at once
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # also numerals like a superscript two, which are no letters
+MOST_LANGS = 2000
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
     """The bucket of the n-gram that begins at each place."""
     h = codes[: len(codes) - order + 1] * _MULTIPLIERS[0]
@@ -124,13 +129,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 1000, calibration: float = 0.25) -> Model | None:
     """Learns from ``docs``: document frequencies from all of them, weights from a bounded sample.
 
-    At most about ``rows_per_lang`` labelled rows per language, by a hash of doc_id, are used for the
-    weights; the share ``calibration`` of them sets the temperature. None without any labelled row.
+    At most about ``rows_per_lang`` different labelled texts per language, by a hash of the text, are used for the weights, so that no
+    repeated id or text fills the sample; the share ``calibration`` of them sets the temperature. None without any labelled row.
+    More than MOST_LANGS languages are an error, as the weights are held by every task.
     """
     learn = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     per = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not per:
         return None
+    if len(per) > MOST_LANGS:
+        raise ValueError(f"{len(per)} languages")
     langs = tuple(sorted(per))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +158,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             df[r["bucket"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    share = F.lit(0)
-    for name, count in per.items():
-        share = F.when(F.col("lang") == name, min(1 << 20, (rows_per_lang << 20) // count)).otherwise(share)
-    sample = learn.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share) & (F.length("text") > 0))
+    shares = learn.sparkSession.createDataFrame([(name, min(1 << 20, (rows_per_lang << 20) // count)) for name, count in per.items()], "lang string, share long")
+    hashed = learn.where(F.length("text") > 0).withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "lang")
+    sample = hashed.where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "one.text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +185,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with two columns ``names``, language and score; ``und`` and 0 where text is null or has no letter, or nothing was learnt."""
+    """``docs`` with two columns ``names``, language and score; ``und`` and 0 where text is null or has no letter, or nothing was learnt.
+    Columns of these names are replaced."""
+    docs = docs.drop(*names)
     spark, columns = docs.sparkSession, docs.columns
     shared = spark.sparkContext.broadcast(model)
     place = columns.index(text)
@@ -187,13 +196,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
         m = shared.value
         for batch in batches:
             texts = batch.column(place)
-            lettered = np.array([v is not None and LETTER.search(v) is not None for v in (t.as_py() for t in texts)], dtype=bool)
+            with_letter = np.array([lettered(t.as_py()) for t in texts], dtype=bool)
             best, score = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             if m is not None:
                 for row, c in counts(texts):
                     p = m.scores(c)
                     best[row : row + len(c)], score[row : row + len(c)] = p.argmax(axis=1), p.max(axis=1)
-            known = lettered & (m is not None)
+            known = with_letter & (m is not None)
             lang = [m.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], names=[*columns, *names])
 
@@ -205,8 +214,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """doc_id, text, held_out, lang_pred and score of every row; held-out rows are not learnt from.
 
     Every row is judged by its whole text alone. Null or empty texts and texts without a letter are
-    ``und``. Rows with a null lang are predicted but not learnt from; repeated rows are learnt from
-    as often as they stand. Without labelled rows all are ``und``; empty input gives no rows.
+    ``und`` (numerals like a superscript two are no letters). Very long texts count in whole. Rows with a null lang are predicted but
+    not learnt from; repeated rows count in the frequencies as often as they stand, for the weights once. A null id is not held out. Of
+    languages with equal scores the first in order wins. Other columns are ignored. Without labelled rows all are ``und``; empty input gives no rows.
     """
     model = train(docs.where(~held_out(F.col(doc_id))), doc_id, text, lang, **options)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(F.col(doc_id)).alias("held_out"))

@@ -67,15 +67,15 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """``docs`` with their kept text in ``text``, and n_lines and n_dropped (long).
-
-    A line whose key has at least ``min_chars`` code points and stands in at least ``min_docs``
-    documents stays only in the largest doc_id holding it. Keys are compared by their MD5 (128 bits).
-    Documents go in batches of falling doc_id, so that the first batch with a line holds it in its
-    largest document. Null or empty text is one empty line and becomes "". Rows sharing a doc_id
-    count as one document; their lines are judged alike. Rows with a null doc_id count as
-    document -2^63. Other columns stay as they are.
+    """``docs`` with their kept text in ``text``, and n_lines and n_dropped (long); columns of these two names are replaced.
+
+    A line whose key has at least ``min_chars`` code points and stands in at least ``min_docs`` documents stays only in the largest
+    doc_id holding it. Keys are compared by their MD5 (128 bits). Documents go in batches of falling doc_id, so that the first batch with
+    a line holds it in its largest document. Null or empty text is one empty line and becomes ""; very long texts count in whole.
+    Rows sharing a doc_id count as one document; their lines are judged alike. Rows with a null doc_id count as document -2^63.
+    Other columns stay as they are; an empty table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     spark = docs.sparkSession
     columns = docs.columns
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -7,7 +7,7 @@ import bisect
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPECIAL = "<|endoftext|>"
 CACHE_ENTRIES = 400_000
+LARGE = (0.25, 0.4, 0.5)  # shares of a sequence from which on a piece is large
 GAP = 0.002  # the patterns found are within this share of the best
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -88,7 +89,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end: int
     """Per piece of a document: doc_id, piece, start, length, ids_crc32.
 
     A document's tokens are its ids and ``end``. Documents of over ``size`` tokens are cut; every
-    piece but the first has ``size`` tokens. Null text counts as empty: the one token ``end``.
+    piece but the first has ``size`` tokens. Null text counts as empty: the one token ``end``. Very long texts are encoded in
+    slices, whole. Null and repeated ids and rows are documents each. Other columns are left out; an empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +153,14 @@ def configurations(sizes: list[int], demands: list[int], size: int, rounds: int
     return [([int(x) for x in basis[:, j]], int(np.floor(amount[j] + 1e-9))) for j in range(k) if amount[j] > 1 - 1e-9]
 
 
-def plan(counts: dict[int, int], size: int = 1024, groups: int = 64, large: float = 0.125) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many alike), for a count of pieces per length.
+def plan(counts: dict[int, int], size: int = 1024, groups: int = 64, large: Sequence[float] = LARGE) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths, how many alike), for a count of pieces per length: of the schemes that call a piece large from each share
+    of ``large`` on, the one with the fewest sequences. From a half on a configuration is one piece or two, and the scheme is best fit."""
+    return min((_plan(counts, size, groups, share) for share in large), key=lambda p: sum(many for _, many in p))
 
-    Lengths of at least ``large * size`` form ``groups`` groups of equal cardinality, rounded up to
+
+def _plan(counts: dict[int, int], size: int, groups: int, large: float) -> list[tuple[tuple[int, ...], int]]:
+    """One scheme. Lengths of at least ``large * size`` form ``groups`` groups of equal cardinality, rounded up to
     the group's largest; configurations of these few sizes are optimised; the actual lengths take
     the places of their group; what remains, large or small, goes where it fits best, longest
     first. Only counts per length are handled, ``size`` of them at most, however many pieces there are.
@@ -256,7 +262,7 @@ def pack(table: DataFrame, size: int = 1024, groups: int = 64) -> DataFrame:
 
     The count of pieces per length, ``size`` numbers at most, comes to the driver for the plan; pieces are
     numbered within their length, in parts, and look their place up in the plan, whose size depends on
-    ``size`` alone. Identical rows get places of their own.
+    ``size`` alone. Identical rows get places of their own, pieces of one length theirs by the other columns. No pieces: no rows.
     """
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
     spans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # length: first rank, first sequence, offset
@@ -294,5 +300,5 @@ def pack(table: DataFrame, size: int = 1024, groups: int = 64) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, groups: int = 64, **options) -> DataFrame:
-    """Pieces of every document with their place in sequences of at most ``size`` tokens."""
+    """Pieces of every document with their place in sequences of at most ``size`` tokens; see ``pieces`` and ``pack`` for the odd cases."""
     return pack(written(pieces(docs, size=size, **options)), size, groups)

@@ -32,15 +32,14 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
 def shard(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, columns: Sequence[Column] = (), seed: int = 0) -> DataFrame:
     """Per row its key, ``columns``, ``shard`` and the gapless place ``slot`` in it; ``grown_shard`` under ``grown``.
 
-    Null keys share one shard. Rows of equal keys share a shard and stand by the other columns;
-    identical rows stand in any order, which makes no difference. Empty input gives no rows.
+    Null keys share one shard. Rows of equal keys share a shard and stand by the other columns; identical rows stand in any order,
+    which makes no difference. A shard is numbered in parts dealt by all these columns, so that no null or repeated key makes a large one.
+    Empty input gives no rows; other columns of ``docs`` are left out, and names of ``columns`` must not be key, shard or slot.
     """
-    count = docs.select(key).count()
-    parts = sub_groups(count, len(weights))
+    parts = sub_groups(docs.count(), len(weights))
     placed = docs.select(F.col(key), *columns, rendezvous(F.col(key), weights, seed).alias("shard"))
     if grown is not None:
         placed = placed.withColumn("grown_shard", rendezvous(F.col(key), grown, seed))
     others = [c for c in placed.columns if c not in (key, "shard")]
-    part = F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(parts)).cast("int")
-    keys = docs.select(rendezvous(F.col(key), weights, seed).alias("shard"), part.alias("__part"))
-    return gapless(placed.withColumn("__part", part), ["shard"], "__part", [F.col(key), *map(F.col, others)], "slot", keys).drop("__part")
+    part = F.pmod(F.xxhash64(F.col(key), *map(F.col, others), F.lit("part")), F.lit(parts)).cast("int")
+    return gapless(placed.withColumn("__part", part), ["shard"], "__part", [F.col(key), *map(F.col, others)], "slot").drop("__part")
