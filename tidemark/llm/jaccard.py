@@ -176,11 +176,11 @@ def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 
 
 def _alike(rows: pd.DataFrame, low: int) -> list[tuple[int, int]]:
-    """Of one task of a mixed node: links between texts whose sketches agree on ``low`` values, as a forest."""
+    """Of one task of a mixed node: links between texts of different parts whose sketches agree on ``low`` values, as a forest."""
     left, right, _ = _sides(rows)
-    a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-    near = _agree(_sketches(left["sketch"]), _sketches(right["sketch"])) >= low
-    return _forest([(int(a[i]), int(b[j])) for i, j in zip(*np.nonzero(near), strict=True) if a[i] != b[j]])
+    a, b = left["part"].to_numpy(), right["part"].to_numpy()
+    near = (a[:, None] != b[None, :]) & (_agree(_sketches(left["sketch"]), _sketches(right["sketch"])) >= low)
+    return _forest([(int(a[i]), int(b[j])) for i, j in zip(*np.nonzero(near), strict=True)])
 
 
 def _compare(rows: pd.DataFrame, threshold: float, depth: int) -> Iterator[tuple[int, int | None, int, int, float]]:
@@ -229,9 +229,9 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(rep, grp): texts that may be linked, from the tries' nodes at ``depth``.
 
-    Each text of a node is held against the node's pivot, its smallest text, by their sketches. Where all agree enough the node is
-    connected. In a mixed node the texts not close to the pivot meet one another in blocks. So no chain of chance meetings
-    makes a group, and no node is one task.
+    Each text of a node is held against the node's pivot, its smallest text, by their sketches; those that agree enough are
+    connected. Where this leaves a node in several components, its texts that are not close to the pivot meet one another in
+    blocks. So no chain of chance meetings makes a group, and no node is one task.
     """
     low, high = bounds(threshold)
     at = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sketch, t * {DEPTH} + 1, {depth}))")
@@ -242,17 +242,22 @@ def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     pairs = held.select("rep", "pivot").distinct().join(sketches, "rep").join(sketches.toDF("pivot", "pivot_sketch"), "pivot")
     near = written(pairs.select("rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_likeness, "rep long, pivot long, agree int"))
     links = near.where(F.col("agree") >= low).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    joined = components(links).withColumnsRenamed({"id": "rep", "component": "part"})
     mixed = held.join(near.where(F.col("agree") < low).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp").distinct()
-    rest = written(held.join(mixed, "grp", "left_semi").join(near.where(F.col("agree") < high).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp", "rep").distinct())
-    if not rest.isEmpty():
-        sizes = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
-        tasks = _tasks(rest.join(sketches, "rep"), sizes, ["sketch"], 4096)
+    open_ = held.join(near.where(F.col("agree") < high).select("rep", "pivot"), ["rep", "pivot"], "left_semi").join(mixed, "grp", "left_semi").select("grp", "rep").distinct()
+    open_ = written(open_.join(joined, "rep", "left").select("grp", "rep", F.coalesce("part", "rep").alias("part")))
+    sizes = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("grp", "n", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("blocks"))
+    sizes = written(sizes)
+    if not sizes.isEmpty():
+        tasks = _tasks(open_.join(sketches, "rep"), sizes, ["sketch", "part"], 4096)
 
         def alike(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([x for _, part in rows.groupby(["grp", "low", "high"]) for x in _alike(part, low)], columns=["u", "v"]).astype("int64")
+            return pd.DataFrame([x for _, task in rows.groupby(["grp", "low", "high"]) for x in _alike(task, low)], columns=["u", "v"]).astype("int64")
 
-        links = links.unionByName(tasks.groupBy("task").applyInPandas(alike, "u long, v long"))
-    return components(links).withColumnsRenamed({"id": "rep", "component": "grp"})
+        more = written(tasks.groupBy("task").applyInPandas(alike, "u long, v long"))
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("rep").alias("u"), F.col("part").alias("v")).unionByName(more)).withColumnsRenamed({"id": "rep", "component": "part"})
+    return joined.withColumnRenamed("part", "grp")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, doc_id: str = "doc_id", text: str = "text", wordless_apart: bool = True) -> DataFrame:
