@@ -37,9 +37,13 @@ def frames(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<iframe\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)"), F.lit(1))
 
 
+# What the page in front of a protected one says, and the most characters it has.
+WALL, MOST_WALL = r"Sicherheitsüberprüfung wird durchgeführt|Just a moment\.\.\.|Checking your browser|challenges\.cloudflare\.com", 5000
+
+
 def bot_wall(text: Column) -> Column:
-    """Is a page a challenge instead of its content?"""
-    return F.length(text).between(0, 4000) & text.rlike(r"(?i)(are you a robot|captcha|verify you are human|checking your browser|access denied|enable javascript and cookies)")
+    """Is a page a challenge instead of its content? Challenges are short."""
+    return F.coalesce((F.length(text) <= MOST_WALL) & text.rlike(WALL), F.lit(False))
 
 
 def kind_of(content_type: Column) -> Column:

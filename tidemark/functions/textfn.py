@@ -135,8 +135,3 @@ def ascii_form(text: pd.Series) -> pd.Series:
 
 def base36(n: Column, width: int = 8) -> Column:
     return F.lpad(F.lower(F.conv(n.cast("string"), 10, 36)), width, "0")
-
-
-def short_id(key: Column, seed: Column | int = 0, width: int = 8) -> Column:
-    """Eight signs of base 36 from a 64-bit hash of key and seed. Other seeds serve where ids collide."""
-    return base36(F.pmod(F.xxhash64(key, F.lit(seed) if isinstance(seed, int) else seed), F.lit(36**width)), width)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parameters that say nothing about the page.
-VOLATILE = r"^(utm_.*|fbclid|gclid|mc_.*|phpsessid|jsessionid|sid|session|ref|pk_.*)="
+# Parameters that say nothing about the page, parts of paths that hold no programme, and pictures.
+VOLATILE = r"^(utm_[^=]*|fbclid|gclid|sid|phpsessid|jsessionid|sessionid)(=|$)"
+NO_PROGRAMME = r"(?i)(^|[/_\-\s.])(impressum|datenschutz|datenschutzerklaerung|privacy|agb|warenkorb|cart|login|shop|onlineshop|presse|jobs|karriere)([/_\-\s.?]|$)"
+PICTURE = r"(?i)\.(jpe?g|png|gif|webp|svg|ico|bmp|tiff?)(\?|$)"
 
 
 def host(url: Column) -> Column:
@@ -21,10 +23,10 @@ def path(url: Column) -> Column:
 
 
 def parameters(url: Column) -> Column:
-    """Query parameters in sorted order without volatile ones."""
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    """Query parameters in sorted order without volatile ones; one without a value has an empty one."""
+    query = F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&", -1), lambda p: (p != "") & ~F.lower(p).rlike(VOLATILE))
-    return F.array_sort(kept)
+    return F.array_sort(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))))
 
 
 def canonical(url: Column) -> Column:
@@ -49,6 +51,8 @@ def under_anchor(url: Column, anchor: Column) -> Column:
     return (host(url) == host(anchor)) & below & (F.size(F.array_except(parameters(anchor), parameters(url))) == 0)
 
 
-def never_visit(url: Column) -> Column:
-    """Files and pages that hold no programme."""
-    return F.lower(url).rlike(r"\.(jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp[34]|css|js)(\?|$)|/(impressum|datenschutz|agb|login|warenkorb|wp-admin)(/|$|\?)")
+def never_visit(url: Column, label: Column | None = None) -> Column:
+    """Pages that hold no programme by a whole word of their path or of the link's text (imprint, privacy, terms, cart, login, shop,
+    press, jobs), pictures, and what is no address."""
+    words = path(url).rlike(NO_PROGRAMME) | path(url).rlike(PICTURE)
+    return host(url).isNull() | words | (F.trim(label).rlike(NO_PROGRAMME) if label is not None else F.lit(False))

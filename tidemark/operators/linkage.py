@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import textfn
+from ..functions import idfn, textfn
 from .joins import mutual_best, unique_pairs
 from .lineage import cut
 
@@ -74,7 +75,8 @@ def link_stages(old: DataFrame, new: DataFrame, keys: Sequence[str], exact: str,
     ``old`` (old_id, keys, exact), ``new`` (new_id, keys, exact); ``member_*`` (keys, id, member).
     """
     found = unique_pairs(old, new, [*keys, exact], "old_id", "new_id").select("new_id", "old_id", F.lit(0).alias("stage"))
-    scored = shared_members(member_old, member_new, keys, "old_id", "new_id", "member").where(F.col("jaccard") >= least).cache()
+    scored = shared_members(member_old, member_new, keys, "old_id", "new_id", "member").where(F.col("jaccard") >= least)
+    scored = cut(scored)
     while True:
         rest = scored.join(found, "old_id", "left_anti").join(found, "new_id", "left_anti")
         more = mutual_best(rest, "old_id", "new_id", F.col("jaccard")).select("new_id", "old_id", F.lit(1).alias("stage"))
@@ -85,18 +87,19 @@ def link_stages(old: DataFrame, new: DataFrame, keys: Sequence[str], exact: str,
     return found
 
 
-def assigned_ids(rows: DataFrame, key: str, used: DataFrame, rounds: int = 10) -> DataFrame:
-    """(key, id, seed): short ids by hash of the key; ids in ``used`` or claimed twice go to the smallest key, others try the next seed."""
-    left, done = rows.select(key).distinct(), None
-    for seed in range(rounds):
-        tried = left.withColumn("id", textfn.short_id(F.col(key), seed)).withColumn("seed", F.lit(seed))
+def assigned_ids(rows: DataFrame, key: str, used: DataFrame) -> DataFrame:
+    """(key, id, seed): short ids by hash of the key; an id claimed twice goes to the smallest key, others, and those whose id is in
+    ``used``, try the next seed until every key has one."""
+    left, done = cut(rows.select(key).where(F.col(key).isNotNull()).distinct()), None
+    for seed in count():
+        tried = left.withColumn("id", idfn.short_id(F.col(key), seed)).withColumn("seed", F.lit(seed))
         free = tried.join(used.select("id"), "id", "left_anti")
         if done is not None:
             free = free.join(done.select("id"), "id", "left_anti")
         won = free.groupBy("id").agg(F.min(key).alias(key), F.first("seed").alias("seed")).select(key, "id", "seed")
         done = won if done is None else done.unionByName(won)
         done = cut(done)
-        left = left.join(done, key, "left_anti")
+        left = cut(left.join(done, key, "left_anti"))
         if left.isEmpty():
             break
     return done

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers
+from .ranks import numbered
 
 
 def first_reason(reasons: Sequence[tuple[str, Column]]) -> Column:
@@ -72,9 +73,9 @@ def robots_allows(urls: DataFrame, rules: DataFrame, key: str, host: str, path:
 
 
 def care_order(units: DataFrame, key: str, failing: Column, cared: Column) -> DataFrame:
-    """(key, place): lasting failures first, then by the day of care (never: first), then key. Units are few; one order over all."""
-    w = W.orderBy(F.when(failing, 0).otherwise(1), cared.asc_nulls_first(), F.col(key))
-    return units.select(key, F.row_number().over(w).alias("place"))
+    """(key, place): lasting failures first, then by the day of care (never: first), then key, numbered in ranges."""
+    rows = units.select(key, F.when(failing, 0).otherwise(1).alias("__f"), cared.isNotNull().alias("__c"), cared.alias("__d"))
+    return numbered(rows, [], ["__f", "__c", "__d", key], "place").select(key, F.col("place").cast("int").alias("place"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:

@@ -20,10 +20,13 @@ def largest_remainder(sizes: DataFrame, key: str, size: str, n: int) -> DataFram
     return q.select(key, F.least(F.col(size), F.col("__f") + (F.col("__r") <= F.col("__left")).cast("long")).alias("quota"))
 
 
-def stratified(rows: DataFrame, key: str, stratum: str, quotas: DataFrame, draw: Column) -> DataFrame:
-    """Per stratum as many rows as its quota, smallest ``draw`` first (a hash of key and seed): reruns agree."""
+def stratified(rows: DataFrame, key: str, stratum: str, quotas: DataFrame, draw: Column, most: int) -> DataFrame:
+    """Per stratum as many rows as its quota, ``most`` at most, smallest ``draw`` first (a hash of key and seed): reruns agree.
+
+    ``most`` is a constant bound of all quotas: with it each task keeps no more rows of a stratum before the shuffle."""
     w = W.partitionBy(stratum).orderBy(draw, key)
-    return rows.join(F.broadcast(quotas), stratum).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= F.col("quota")).drop("__k", "quota")
+    first = rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    return first.join(F.broadcast(quotas), stratum).where(F.col("__k") <= F.col("quota")).drop("__k", "quota")
 
 
 def precision_recall(rows: DataFrame, predicted: Column, expected: Column, group: Sequence[str] = ()) -> DataFrame:

@@ -6,42 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import timefn
 
 
-def _ruled(days: DataFrame, key: str, count: str | None, exceptions: DataFrame | None, free_days: DataFrame | None, skip_free: str | None) -> DataFrame:
-    """Days without exceptions (key, day) and, where ``skip_free``, holidays (day); then the first ``count``: it counts kept days."""
+def _ruled(rules: DataFrame, days: Column, key: str, count: str | None, exceptions: DataFrame | None, free_days: DataFrame | None, skip_free: str | None) -> DataFrame:
+    """A row per rule and day of ``days`` (ascending) without the rule's exceptions (key, day) and, where ``skip_free``, holidays (day); then the
+    first ``count``: it counts kept days. A rule's days stay in its row until they are cut, so only exceptions are joined."""
+    d = rules.withColumn("__days", days)
     if exceptions is not None:
-        days = days.join(exceptions.select(key, "day").distinct(), [key, "day"], "left_anti")
+        off = exceptions.groupBy(key).agg(F.collect_set("day").alias("__off"))
+        d = d.join(off, key, "left").withColumn("__days", F.when(F.col("__off").isNull(), F.col("__days")).otherwise(F.array_except("__days", "__off"))).drop("__off")
     if free_days is not None:
-        free = F.broadcast(free_days.select(F.col("day").alias("__free")).distinct())
-        skip = F.col(skip_free) if skip_free else F.lit(True)
-        days = days.join(free, (F.col("day") == F.col("__free")) & skip, "left_anti")
+        free = free_days.agg(F.collect_set("day").alias("__free"))  # one row: some days a year
+        left = F.array_except("__days", "__free")
+        d = d.crossJoin(F.broadcast(free)).withColumn("__days", F.when(F.col(skip_free), left).otherwise(F.col("__days")) if skip_free else left).drop("__free")
     if count is not None:
-        rank = F.row_number().over(W.partitionBy(key).orderBy("day"))
-        days = days.withColumn("__k", rank).where(F.col(count).isNull() | (F.col("__k") <= F.col(count))).drop("__k")
-    return days
+        d = d.withColumn("__days", F.when(F.col(count).isNull(), F.col("__days")).otherwise(F.slice("__days", F.lit(1), F.greatest(F.col(count), F.lit(0)))))
+    return d.withColumn("day", F.explode("__days")).drop("__days")
 
 
 def weekly(rules: DataFrame, key: str, start: str, until: str, weekdays: str, interval: str, count: str | None = None, exceptions: DataFrame | None = None, free_days: DataFrame | None = None, skip_free: str | None = None) -> DataFrame:
-    """A row per rule and day: the rule's ISO weekdays in every ``interval``-th week from the Monday of its start."""
+    """A row per rule and day: the rule's ISO weekdays in every ``interval``-th week from the Monday of its start. ``key`` tells rules apart."""
     monday = F.date_trunc("week", F.col(start)).cast("date")
-    weeks = F.explode(F.sequence(F.lit(0), F.floor(F.datediff(F.col(until), monday) / 7).cast("int"), F.col(interval).cast("int")))
-    d = rules.where((F.col(until) >= F.col(start)) & (F.col(interval) >= 1)).withColumn("__w", weeks).withColumn("__d", F.explode(weekdays))
-    d = d.withColumn("day", F.date_add(monday, F.col("__w") * 7 + F.col("__d") - 1)).drop("__w", "__d")
-    d = d.where((F.col("day") >= F.col(start)) & (F.col("day") <= F.col(until))).dropDuplicates([key, "day"])
-    return _ruled(d, key, count, exceptions, free_days, skip_free)
+    weeks = F.sequence(F.lit(0), F.floor(F.datediff(F.col(until), monday) / 7).cast("int"), F.col(interval).cast("int"))
+    of_week = F.array_sort(F.array_distinct(weekdays))
+    days = F.flatten(F.transform(weeks, lambda w: F.transform(of_week, lambda d: F.date_add(monday, w * 7 + d - 1))))
+    fine = rules.where((F.col(until) >= F.col(start)) & (F.col(interval) >= 1))
+    return _ruled(fine, F.filter(days, lambda d: d.between(F.col(start), F.col(until))), key, count, exceptions, free_days, skip_free)
 
 
 def monthly(rules: DataFrame, key: str, start: str, until: str, weekday: str, nth: str, count: str | None = None, exceptions: DataFrame | None = None, free_days: DataFrame | None = None, skip_free: str | None = None) -> DataFrame:
-    """A row per rule and day: the nth or last (-1) weekday of every month that has one."""
-    months = F.explode(F.sequence(F.trunc(F.col(start), "month"), F.trunc(F.col(until), "month"), F.expr("INTERVAL 1 MONTH")))
-    d = rules.where(F.col(until) >= F.col(start)).withColumn("__m", months)
-    d = d.withColumn("day", timefn.nth_weekday(F.year("__m"), F.month("__m"), F.col(weekday), F.col(nth))).drop("__m")
-    d = d.where((F.col("day") >= F.col(start)) & (F.col("day") <= F.col(until)))
-    return _ruled(d, key, count, exceptions, free_days, skip_free)
+    """A row per rule and day: the nth or last (-1) weekday of every month that has one. ``key`` tells rules apart."""
+    months = F.sequence(F.trunc(F.col(start), "month"), F.trunc(F.col(until), "month"), F.expr("INTERVAL 1 MONTH"))
+    days = F.transform(months, lambda m: timefn.nth_weekday(F.year(m), F.month(m), F.col(weekday), F.col(nth)))
+    fine = rules.where(F.col(until) >= F.col(start))
+    return _ruled(fine, F.filter(days, lambda d: d.between(F.col(start), F.col(until))), key, count, exceptions, free_days, skip_free)
 
 
 def holiday_days(ranges: DataFrame, start: str = "start", end: str = "end", name: str = "name", order: Sequence[Column] = ()) -> DataFrame:

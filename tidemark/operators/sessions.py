@@ -37,8 +37,10 @@ class Rule:
 
 def collect_sessions(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """One row per key with its sessions: ascending, one per start (the shortest)."""
-    one = rows.where(F.col(start).isNotNull()).groupBy(*keys, F.col(start).alias("start")).agg(F.min(end).alias("end"))
-    return one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("sessions"))
+    all_ = F.array_sort(F.collect_list(F.struct(F.col(start).alias("start"), F.col(end).alias("end"))))
+    g = rows.where(F.col(start).isNotNull()).groupBy(*keys).agg(all_.alias("__s"))  # one shuffle; repeated starts go in the row
+    first = F.filter("__s", lambda s, i: (i == 0) | (F.get("__s", i - 1)["start"] != s["start"]))
+    return g.select(*keys, first.alias("sessions"))
 
 
 def first(sessions: Column) -> Column:

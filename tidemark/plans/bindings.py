@@ -27,10 +27,14 @@ def kind(priority: Column) -> Column:
     return F.when(priority.isin("1-URGENT", "2-HIGH"), sessions.COURSE).when(priority == "3-MEDIUM", sessions.SINGLE).otherwise(sessions.REGULAR)
 
 
-def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per line item: session from the ship date, at the hour of its line number, of as many hours as its quantity."""
+def session_rows(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """A row per line item: session from the ship date, at the hour of its line number, of as many hours as its quantity; of ship
+    dates from ``since`` to before ``until``."""
     start = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber") + 8)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", start.alias("start"), (start + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))).alias("end"))
+    rows = table(spark, sf_dir, "lineitem")
+    if since is not None and until is not None:
+        rows = rows.where((F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz")))
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", start.alias("start"), (start + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))).alias("end"))
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers, textfn, timefn, urlfn
-from ..operators import agenda, filters, joins, linkage, listing, measures, recurrence, sessions, state, transit
+from ..operators import agenda, filters, joins, linkage, listing, measures, ranks, recurrence, sessions, state, transit
 from ..sources import sinks
 from . import bindings as B
 
@@ -110,8 +110,9 @@ def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_roles("""SELECT o_orderkey, CAST(k AS INTEGER) AS ordinal, strftime(start, '%Y-%m-%d') AS day, CAST(row_number() OVER (PARTITION BY CAST(start AS DATE) ORDER BY start, o_orderkey) AS INTEGER) AS place FROM j"""))
 def sessions_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = B.offers(spark, sf_dir).select("o_orderkey", F.posexplode("sessions").alias("i", "s"))
-    place = F.row_number().over(W.partitionBy(F.to_date("s.start")).orderBy("s.start", "o_orderkey"))
-    return o.select("o_orderkey", (F.col("i") + 1).cast("int").alias("ordinal"), F.date_format("s.start", "yyyy-MM-dd").alias("day"), place.alias("place"))
+    rows = o.select("o_orderkey", (F.col("i") + 1).cast("int").alias("ordinal"), F.to_date("s.start").alias("day"), F.col("s.start").alias("start"))
+    out = ranks.numbered(rows, ["day"], ["start", "o_orderkey"], "place")
+    return out.select("o_orderkey", "ordinal", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("place").cast("int").alias("place"))
 
 
 # --- age
@@ -196,9 +197,11 @@ def top_per_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT unnest(range(DATE '1998-06-15', DATE '1998-07-16', INTERVAL 1 DAY)) AS day) d LEFT JOIN r ON r.day = CAST(d.day AS DATE) GROUP BY 1"""))
 def range_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = agenda.days(spark, "1998-06-15", "1998-07-15")
-    rows = B.offers(spark, sf_dir).select("kind", "o_custkey", F.explode("sessions").alias("s"))
-    rows = rows.where((F.col("s.start") >= F.lit("1998-06-15").cast("timestamp_ntz")) & (F.col("s.start") < F.lit("1998-07-16").cast("timestamp_ntz")))
-    out = agenda.range_agenda(spine, rows, F.to_date("s.start"), F.col("kind") != "single", F.col("o_custkey") % 3 != 0)
+    # Sessions begin on the day of shipping, so the scan takes the range alone; an order's line items of one start are one session.
+    s = B.session_rows(spark, sf_dir, "1998-06-15", "1998-07-16").select("l_orderkey", "start").distinct()
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", B.kind(F.col("o_orderpriority")).alias("kind"))
+    rows = s.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    out = agenda.range_agenda(spine, rows, F.to_date("start"), F.col("kind") != "single", F.col("o_custkey") % 3 != 0)
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -377,11 +380,20 @@ def normalized_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "documents").select("doc_id", F.sha2(textfn.squeezed(F.coalesce("text", F.lit(""))), 256).alias("digest"))
 
 
-@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)
-    SELECT page_id, host, host || path || CASE WHEN len(ps) = 0 THEN '' ELSE '?' || array_to_string(ps, '&') END AS canonical FROM
-    (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_.*|fbclid|gclid|mc_.*|phpsessid|jsessionid|sid|session|ref|pk_.*)='))) AS ps FROM p)""")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://Some.One:pw@WWW.') WHEN 2 THEN regexp_replace(upper(regexp_extract(url, '^[^/]*//[^/]*')) || ':8080' || regexp_replace(url, '^[^/]*//[^/]*', ''), '(\?|$)', '/?UTM_Source=x&b&') ELSE regexp_replace(url, '(#.*)?$', '?SID=9&z=&a=1=2#frag?y=1') END AS url FROM pages),
+    s AS (SELECT page_id, string_split(split_part(url, '#', 1), '?') AS a FROM u), n AS (SELECT page_id, split_part(a[1], '://', 2) AS rest, array_to_string(a[2:], '?') AS q FROM s),
+    h AS (SELECT *, lower(split_part(string_split(split_part(rest, '/', 1), '@')[-1], ':', 1)) AS host, rest[length(split_part(rest, '/', 1)) + 1:] AS path FROM n),
+    k AS (SELECT page_id, CASE WHEN starts_with(host, 'www.') THEN host[5:] ELSE host END AS host, rtrim(path, '/') AS path, list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')
+          AND NOT list_contains(['fbclid', 'gclid', 'sid', 'phpsessid', 'jsessionid', 'sessionid'], lower(split_part(x, '=', 1)))), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS ps FROM h)
+    SELECT page_id, host, host || path || CASE WHEN len(ps) = 0 THEN '' ELSE '?' || array_to_string(ps, '&') END AS canonical FROM k""")
 def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "pages").select("page_id", urlfn.host(F.col("url")).alias("host"), urlfn.canonical(F.col("url")).alias("canonical"))
+    """Addresses as they stand, and with a user, ``www.``, a port, upper case, bare and volatile parameters and a fragment."""
+    k, u = F.col("page_id") % 4, F.col("url")
+    upper = F.concat(F.upper(F.regexp_extract(u, "^[^/]*//[^/]*", 0)), F.lit(":8080"), F.regexp_replace(u, "^[^/]*//[^/]*", ""))
+    marked = F.when(F.contains(upper, F.lit("?")), F.concat(F.substring_index(upper, "?", 1), F.lit("/?UTM_Source=x&b&"), F.substr(upper, F.instr(upper, "?") + 1))).otherwise(F.concat(upper, F.lit("/?UTM_Source=x&b&")))
+    last = F.concat(F.regexp_replace(u, "#.*$", ""), F.lit("?SID=9&z=&a=1=2#frag?y=1"))
+    url = F.when(k == 0, u).when(k == 1, F.replace(u, F.lit("://"), F.lit("://Some.One:pw@WWW."))).when(k == 2, marked).otherwise(last)
+    return B.table(spark, sf_dir, "pages").select("page_id", urlfn.host(url).alias("host"), urlfn.canonical(url).alias("canonical"))
 
 
 @query(r"""WITH p AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host, page_id % 10 AS provider FROM pages)
@@ -568,7 +580,7 @@ def hamilton_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_QUOTA}, d AS (SELECT o_orderkey, o_orderpriority AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7:' || o_orderkey), o_orderkey) AS r FROM orders) SELECT o_orderkey, k FROM d JOIN q USING (k) WHERE r <= quota")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, quotas = _quotas(spark, sf_dir)
-    return measures.stratified(o, "o_orderkey", "k", quotas, F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string")))).select("o_orderkey", "k")
+    return measures.stratified(o, "o_orderkey", "k", quotas, F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), 101).select("o_orderkey", "k")
 
 
 # --- state
