@@ -35,7 +35,19 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = scratch(df.sparkSession)
     out = df.write.partitionBy(partition_by) if partition_by else df.write
     out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them has been written."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

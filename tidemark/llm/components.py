@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 HEAVY = 500  # about so many centres at most hold their share of the rows or more
 
@@ -54,7 +54,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not done:
         bar = max(64, 2 * rows // HEAVY)
         bar = bar if most >= bar else None
-        now = written(_small_star(_large_star(now, bar), bar).where("u != v").distinct())
+        last, now = now, written(_small_star(_large_star(now, bar), bar).where("u != v").distinct())
+        drop(last)
         rows, most, done = _shape(now)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()
+    out._scratch = now._scratch  # for ``drop``, once the components have been written elsewhere
+    return out

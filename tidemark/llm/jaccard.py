@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, drop, written
 from .components import components
 
 SHINGLE = 5  # words
@@ -242,7 +242,8 @@ def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     pairs = held.select("rep", "pivot").distinct().join(sketches, "rep").join(sketches.toDF("pivot", "pivot_sketch"), "pivot")
     near = written(pairs.select("rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_likeness, "rep long, pivot long, agree int"))
     links = near.where(F.col("agree") >= low).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
-    joined = components(links).withColumnsRenamed({"id": "rep", "component": "part"})
+    found = components(links)
+    joined = found.withColumnsRenamed({"id": "rep", "component": "part"})
     mixed = held.join(near.where(F.col("agree") < low).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp").distinct()
     open_ = held.join(near.where(F.col("agree") < high).select("rep", "pivot"), ["rep", "pivot"], "left_semi").join(mixed, "grp", "left_semi").select("grp", "rep").distinct()
     open_ = written(open_.join(joined, "rep", "left").select("grp", "rep", F.coalesce("part", "rep").alias("part")))
@@ -256,8 +257,13 @@ def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
 
         more = written(tasks.groupBy("task").applyInPandas(alike, "u long, v long"))
         if not more.isEmpty():
-            joined = components(joined.select(F.col("rep").alias("u"), F.col("part").alias("v")).unionByName(more)).withColumnsRenamed({"id": "rep", "component": "part"})
-    return joined.withColumnRenamed("part", "grp")
+            before, found = found, components(joined.select(F.col("rep").alias("u"), F.col("part").alias("v")).unionByName(more))
+            drop(before)
+        drop(more)
+    drop(held, near, open_, sizes)
+    out = found.withColumnsRenamed({"id": "rep", "component": "grp"})
+    out._scratch = found._scratch
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, doc_id: str = "doc_id", text: str = "text", wordless_apart: bool = True) -> DataFrame:
@@ -294,10 +300,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "copy", "sketch"])
 
     signed = written(rows.mapInArrow(sign, "doc_id long, copy binary, sketch binary"))
-    one = signed.groupBy("doc_id").agg(F.min("copy").alias("copy"))
+    one = written(signed.groupBy("doc_id").agg(F.min("copy").alias("copy")))
     classes = written(one.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = signed.where("sketch is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).dropDuplicates(["doc_id"])
     texts = written(first.select(F.col("doc_id").alias("rep"), "copy", "copies", "sketch", F.lit(True).alias("active")))
+    drop(signed)
     verified: list[DataFrame] = []
     for depth in range(DEPTH, 0, -1):
         found = _verified(rows, texts, depth, threshold)
@@ -308,7 +315,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
         if verified:
             per = reduce(DataFrame.unionByName, verified).where("other is null").groupBy("rep").agg(F.sum("k").alias("k"), F.sum("chance").alias("chance"))
             settled = per.where((F.col("chance") + float(recall(threshold, depth))) / (F.col("k") + 1) >= target).select("rep", F.lit(False).alias("open"))
-            texts = written(texts.join(settled, "rep", "left").withColumn("active", F.coalesce("open", F.lit(True))).drop("open"))
+            last, texts = texts, written(texts.join(settled, "rep", "left").withColumn("active", F.coalesce("open", F.lit(True))).drop("open"))
+            drop(last)
+    drop(texts)
     own = classes.select("copy", "rep", "copies")
     if not verified:
         per = own.select("copy", "rep", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
@@ -323,7 +332,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
 
 def _verified(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame | None:
     """(rep, other, links, k, chance) of the candidates first met at ``depth``, as _compare gives them; none without a group."""
-    members = written(_groups(texts, depth, threshold).join(texts, "rep"))
+    groups = _groups(texts, depth, threshold)
+    members = written(groups.join(texts, "rep"))
+    drop(groups)
     if members.isEmpty():
         return None
 
@@ -352,4 +363,6 @@ def _verified(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -
         table = pd.DataFrame(out, columns=["rep", "other", "links", "k", "chance"])
         return table.astype({"rep": "int64", "other": "Int64", "links": "int64", "k": "int64", "chance": "float64"})
 
-    return written(tasks.groupBy("task").applyInPandas(compare, "rep long, other long, links long, k long, chance double"))
+    found = written(tasks.groupBy("task").applyInPandas(compare, "rep long, other long, links long, k long, chance double"))
+    drop(members, made, sizes)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, written
+from .common import LOWER, SPACE, UPPER, drop, written
 
 
 def line_key(line: Column) -> Column:
@@ -33,20 +33,22 @@ class LineRuns:
         return self._union(runs).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes a batch of (hash, doc_id) and adds a run; returns the run's rows.
+        """Takes a batch of (hash, doc_id) and adds a run; returns the run, which lasts until it is compacted.
 
         The batch's hashes are merge-anti-joined with the runs: those that no run knows get the
         batch's largest doc_id as their holder, the others only add to the count.
         """
         per = batch.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
         runs = [r for level in self.levels for r in level]
+        alone = None
         if runs:
-            per = written(per)
+            alone = per = written(per)
             known = self._union(runs).where(F.col("holder").isNotNull()).select("hash")
             fresh = per.join(known.hint("merge"), "hash", "left_anti")
             seen = per.join(known.hint("merge"), "hash", "left_semi").withColumn("holder", F.lit(None).cast("long"))
             per = fresh.unionByName(seen)
         run = written(per.sortWithinPartitions("hash"))
+        drop(alone)
         self.levels[0].append(run)
         self.compact()
         return run
@@ -55,6 +57,7 @@ class LineRuns:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 merged = written(self._merged(self.levels[k]).sortWithinPartitions("hash"))
+                drop(*self.levels[k])
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
@@ -92,13 +95,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     for b in range(len(set(cuts)) + 1):
         runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id"))
     common = written(runs.all().where(F.col("n_docs") >= min_docs).select("hash", "holder"))
-    dropped = (
+    drop(*[run for level in runs.levels for run in level])
+    dropped = written(
         lines.join(common, "hash")
         .where(F.col("doc_id") != F.col("holder"))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("__dropped"))
         .withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
     )
+    drop(lines, common)
     same = F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).eqNullSafe(F.col("__doc")) & F.xxhash64(F.coalesce(docs[text], F.lit(""))).eqNullSafe(F.col("__hash"))
     both = docs.join(dropped, same, "left").withColumn("__lines", F.split(F.coalesce(docs[text], F.lit("")), "\n", -1))
     both = both.withColumn("__n", F.size("__lines").cast("long")).withColumn("__d", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))

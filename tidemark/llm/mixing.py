@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded, gapless, word_count, written
+from .common import bounded, drop, gapless, word_count, written
 
 GROUPS = 256  # into which sources are hashed, so that a node of the tree splits a bounded number of quotas on the driver
 SMALL = 10_000  # rows per source or block that are broadcast at most
@@ -109,7 +109,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(source).cast("string").alias("__source"), word_count(F.col(text)).alias("__size"), _keyed(docs, doc_id, source, text).alias("__k"))
-    rows = written(_numbered(written(rows))).withColumn("__h", F.xxhash64("__k", "__n", F.lit(seed)))
+    first = written(rows)
+    kept = written(_numbered(first))
+    drop(first)
+    rows = kept.withColumn("__h", F.xxhash64("__k", "__n", F.lit(seed)))
     stats = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("__total"))
     per = source_targets(stats, weights, share, limit)
     whole = F.when(F.col("__total") > 0, F.least(F.floor(F.col("target") / F.col("__total")), F.lit(int(limit)))).otherwise(0).cast("int")
@@ -118,6 +121,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     p, r = bounded(per, SMALL).alias("p"), rows.alias("r")
     placed = r.join(p, F.col("r.__source").eqNullSafe(F.col("p.__source"))).select("r.*", *[f"p.{c}" for c in per.columns if c != "__source"])
     placed = written(placed.withColumn("__block", F.pmod(F.xxhash64("__h", F.lit("block")), F.col("__blocks")).cast("int")))
+    drop(kept)
     blocks = placed.groupBy("__source", "__block").agg(F.sum("__size").alias("words"), F.first("__rest").alias("rest"), F.first("__whole").alias("whole"))
     order = W.partitionBy("__source").orderBy(F.xxhash64("__block", F.lit(seed), F.lit("order")), "__block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -133,6 +137,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     k, t = placed.alias("k"), bounded(taken, SMALL).alias("t")
     both = k.join(t, F.col("k.__source").eqNullSafe(F.col("t.__source")) & (F.col("k.__block") == F.col("t.__block"))).select("k.*", "t.state", F.col("t.left").alias("__left"), "t.passes")
     both = written(both)
+    drop(placed, blocks, taken)
     border = both.where("state = 'part'")
     chosen = border.select("__k", "__n", "__source", "__block", "__size", "__h", "__left").groupBy("__source", "__block").applyInPandas(_filled, "__k long, __n long, __extra boolean")
     part = border.join(chosen, ["__k", "__n"]).withColumn("passes", F.expr("if(__extra, passes, filter(passes, p -> p.pass < __whole))")).drop("__extra")

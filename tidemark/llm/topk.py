@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import drop, written
 
 SHRINK = 0.9  # within a bucket no vector is shorter than this share of the longest
 FOCUS = 4  # coordinates looked at for pruning
@@ -134,6 +134,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = F.broadcast(spark.createDataFrame(plan, "dim int, bucket long, blocks int, leads boolean, top double"))
     placed = written(base.drop("length").join(blocks.drop("top"), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")))
+    drop(base)
     asked = queries.where(F.col("query_id").isNotNull() & F.col("v").isNotNull()).select(F.col("query_id").cast("long"), F.col("v").cast("array<double>").alias("v"))
     asked = written(asked.dropDuplicates(["query_id", "v"]).select("*", F.size("v").alias("dim"), length.alias("length")))
     chunks = -(-asked.count() // QUERY_BLOCK) or 1
@@ -151,7 +152,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
         def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             return search_block(a, b, k) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-        return written(q.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(one, _PAIRS))
+        found = written(q.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(one, _PAIRS))
+        drop(q)
+        return found
 
     def floored(found: DataFrame) -> DataFrame:
         """Queries with their k-th best score so far, and the blocks that can hold a better one."""
