@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprfn import let
 from .timefn import age_in_months, month_window
 
 # Months by their first three letters, and the forms of a span: "geb. März 2025 - Mai 2025", "geb. 02-06/2026".
@@ -16,33 +15,37 @@ BY_NAME = rf"{_LEAD}{_NAME}(?:\s+{_YEAR})?(?:{_DASH}{_NAME})?\s+{_YEAR}"
 BY_NUMBER = rf"{_LEAD}{_NUM}(?:/{_YEAR})?(?:{_DASH}{_NUM})?/{_YEAR}"
 
 
-def _month(name: Column) -> Column:
-    key = F.substring(F.lower(name), 1, 3)
-    return reduce(lambda acc, m: acc.when(key == m[0], m[1]), MONTHS.items(), F.when(F.lit(False), 0))
+def _month(text: Column) -> Column:
+    """A month by its number or name; 0 for another word."""
+    names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    return F.when(text.rlike(r"^\d+$"), text.cast("int")).otherwise(F.coalesce(F.try_element_at(names, F.substring(F.lower(text), 1, 3)), F.lit(0)))
+
+
+def _span(parts: Column) -> Column:
+    """First and last day of a span (first month, its year, second month, last year; "" where none)."""
+    number = lambda k: F.when(parts[k] != "", parts[k].cast("int"))
+    told = F.struct(_month(parts[0]).alias("m"), F.when(parts[2] != "", _month(parts[2])).alias("n"), number(1).alias("first"), number(3).alias("last"))
 
+    def days(t: Column) -> Column:
+        end = F.coalesce(t["n"], t["m"])
+        # Without a first year "Dec. to Feb. 2026" begins in the year before.
+        year = F.coalesce(t["first"], t["last"] - F.coalesce((t["m"] > t["n"]).cast("int"), F.lit(0)))
+        date = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
+        return F.struct(date(year, t["m"]).alias("first"), F.last_day(date(t["last"], end)).alias("last"))
 
-def _span(title: Column, form: str, month) -> Column:
-    part = lambda k: F.regexp_extract(title, form, k)
-    number = lambda k: F.when(part(k) != "", part(k).cast("int"))
-    m1, m2 = month(part(1)), F.when(part(3) != "", F.coalesce(month(part(3)), F.lit(0)))
-    last = F.coalesce(m2, m1)
-    # Without a first year "Dec. to Feb. 2026" begins in the year before.
-    year = F.coalesce(number(2), number(4) - F.when(m2.isNotNull() & (m1 > m2), 1).otherwise(0))
-    fine = m1.between(1, 12) & last.between(1, 12)
-    first, end = F.when(fine, F.make_date(year, m1, F.lit(1))), F.when(fine, F.make_date(number(4), last, F.lit(1)))
-    return F.when(title.rlike(form) & (first <= end), F.struct(first.alias("first"), F.last_day(end).alias("last")))
+    return let(let(told, days), lambda d: F.when(d["first"] <= d["last"], d))
 
 
 def birth_cohort(title: Column) -> Column:
     """struct<first, last>: first and last day of birth named in a title; null without a year or for an impossible span."""
-    numbered = _span(title, BY_NUMBER, lambda text: F.when(text.rlike(r"^\d+$"), text.cast("int")))
-    return F.when(title.rlike(BY_NAME), _span(title, BY_NAME, _month)).otherwise(numbered)
+    parts = lambda form: F.array(*[F.regexp_extract(title, form, k) for k in range(1, 5)])
+    return let(F.when(title.rlike(BY_NAME), parts(BY_NAME)).when(title.rlike(BY_NUMBER), parts(BY_NUMBER)), lambda p: F.when(p.isNotNull(), _span(p)))
 
 
 def cohort_age(cohort: Column, at: Column) -> Column:
     """struct<low, high>: completed months of the youngest (0 at least) and the oldest at a day; null before the first birth."""
-    high = age_in_months(cohort["first"], at)
-    return F.when(high >= 0, F.struct(F.greatest(F.lit(0), age_in_months(cohort["last"], at)).alias("low"), high.alias("high")))
+    ages = lambda c: F.struct(F.greatest(F.lit(0), age_in_months(c["last"], at)).alias("low"), age_in_months(c["first"], at).alias("high"))
+    return let(let(cohort, ages), lambda a: F.when(a["high"] >= 0, a))
 
 
 def fill_months(text: Column, today: Column, months: int = 13) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import cohortfn, idfn, textfn, timefn, titlefn
+from ..functions.exprfn import let
 from . import linkage, sessions
 from .lineage import cut
 
@@ -92,14 +93,21 @@ def drop_outranked(offers: DataFrame, key: str = "id") -> DataFrame:
 def same_sessions(a: Column, b: Column, since: Column) -> Column:
     """Do two series agree where both run, from ``since`` on? At least 0.8 of the smaller's starts in the larger, at least half as many,
     and three in common (or all)."""
-    own = lambda s: F.array_sort(F.array_distinct(F.transform(F.filter(s, lambda x: F.to_date(x["start"]) >= since), lambda x: F.date_trunc("minute", x["start"]))))
-    x, y = own(a), own(b)
-    lo, hi = F.greatest(F.array_min(x), F.array_min(y)), F.least(F.array_max(x), F.array_max(y))
-    inside = lambda s: F.filter(s, lambda t: t.between(lo, hi))
-    p, q, both = F.size(inside(x)), F.size(inside(y)), F.size(F.array_intersect(inside(x), inside(y)))
-    small, large = F.least(p, q), F.greatest(p, q)
-    enough = (both >= F.least(F.lit(3), F.greatest(F.size(x), F.size(y)))) & (both >= small * 0.8) & (small >= large * 0.5)
-    return F.coalesce((lo <= hi) & enough, F.lit(False))
+    own = lambda s: F.array_distinct(F.transform(F.filter(s, lambda x: F.to_date(x["start"]) >= since), lambda x: F.date_trunc("minute", x["start"])))
+
+    def windowed(s: Column) -> Column:
+        lo, hi = F.greatest(F.array_min(s["x"]), F.array_min(s["y"])), F.least(F.array_max(s["x"]), F.array_max(s["y"]))
+        inside = lambda side, w: F.filter(s[side], lambda t: t.between(w["lo"], w["hi"]))
+        ends = F.struct(lo.alias("lo"), hi.alias("hi"))
+        return let(ends, lambda w: F.struct((w["lo"] <= w["hi"]).alias("meet"), F.greatest(F.size(s["x"]), F.size(s["y"])).alias("most"), inside("x", w).alias("x"), inside("y", w).alias("y")))
+
+    def counted(w: Column) -> Column:
+        p, q = F.size(w["x"]), F.size(w["y"])
+        return F.struct(w["meet"], w["most"], F.least(p, q).alias("small"), F.greatest(p, q).alias("large"), F.size(F.array_intersect(w["x"], w["y"])).alias("both"))
+
+    enough = lambda n: n["meet"] & (n["both"] >= F.least(F.lit(3), n["most"])) & (n["both"] >= n["small"] * 0.8) & (n["small"] >= n["large"] * 0.5)
+    series = F.struct(own(a).alias("x"), own(b).alias("y"))
+    return F.coalesce(let(let(let(series, windowed), counted), enough), F.lit(False))
 
 
 def same_offer_twice(a: str, b: str, since: Column) -> Column:
