@@ -49,7 +49,7 @@ def drafts(events: DataFrame, first: Column, last: Column) -> DataFrame:
     at = F.to_date(F.col("__part")[0]["start"])
     d = d.withColumn("__age", F.coalesce(cohortfn.cohort_age(F.col("__c"), at), F.col("__own")))
     d = d.where(F.col("__age").isNull() | (F.col("__age.low") <= MOST_MONTHS))
-    d = d.withColumns({"low": F.col("__age.low"), "high": F.least(F.col("__age.high"), F.lit(MOST_MONTHS)), "sessions": F.col("__part")})
+    d = d.withColumns({"low": F.col("__age.low"), "high": F.when(F.col("__age.high").isNotNull(), F.least(F.col("__age.high"), F.lit(MOST_MONTHS))), "sessions": F.col("__part")})
     return d.drop("__s", "__c", "__own", "__part", "__age")
 
 

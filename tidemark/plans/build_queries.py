@@ -108,7 +108,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (SELECT o_orderkey, kind, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 40 END AS low, s.start, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber % 5 = 0 OR timezone('Europe/Berlin', timezone('Europe/Berlin', s."end")) <> s."end" THEN s.start + INTERVAL 1 HOUR ELSE s."end" END AS fin FROM o JOIN s ON l_orderkey = o_orderkey),
     k AS (SELECT * FROM e WHERE kind = 'course' OR CAST(start AS DATE) BETWEEN DATE '1998-06-01' AND DATE '1998-09-30'),
     g AS (SELECT o_orderkey, kind, low, count(*) AS n, min(start) AS a, max(start) AS z, max(fin) AS fin FROM k WHERE kind <> 'single' GROUP BY ALL UNION ALL SELECT o_orderkey, kind, low, 1, start, start, fin FROM k WHERE kind = 'single')
-    SELECT o_orderkey, kind, CAST(low AS INTEGER) AS low, CAST(least(36, low + 10) AS INTEGER) AS high, CAST(n AS INTEGER) AS n, strftime(a, '%Y-%m-%d %H:%M:%S') AS first, strftime(fin, '%Y-%m-%d %H:%M:%S') AS fin FROM g
+    SELECT o_orderkey, kind, CAST(low AS INTEGER) AS low, CAST(CASE WHEN low IS NOT NULL THEN least(36, low + 10) END AS INTEGER) AS high, CAST(n AS INTEGER) AS n, strftime(a, '%Y-%m-%d %H:%M:%S') AS first, strftime(fin, '%Y-%m-%d %H:%M:%S') AS fin FROM g
     WHERE (kind <> 'course' OR (CAST(z AS DATE) >= DATE '1998-06-01' AND CAST(a AS DATE) <= DATE '1998-09-30')) AND (low IS NULL OR low <= 36)"""))
 def offer_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda t: F.lit(t).cast("date")
