@@ -17,31 +17,37 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer products of every vector whose id is divisible by 50 with all others; see ``topk.top_k`` for odd rows."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", topk.integers(F.col("embedding")).alias("v"))
     asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "v")
     return topk.top_k(asked, rows, 5)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, cut and packed into sequences of 1,024 tokens; a null text is the one token of its end."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters and more that five documents hold stay in the largest of them; a null text is one empty line."""
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdicts of every document; null and empty texts fail the base rule."""
     out = quality.filter_quality(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every text with its score, by a forest that learns from made-up findings; texts without one give no row."""
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards by its key, with its place there and its shard of 25; null keys share one."""
     docs = _read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = [(F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
@@ -50,14 +56,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those not held out; ``und`` where there is no letter."""
     return langid.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, first copy and links of every document; rows without an id are left out."""
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; "" where there is none."""
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
