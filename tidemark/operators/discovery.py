@@ -35,6 +35,12 @@ def prefilter(finds: DataFrame, known: DataFrame, rejected: DataFrame, postponed
     return finds.select("id").join(first, "id", "left").select("id", F.try_element_at(names, F.col("r") + 1).alias("reason"))
 
 
+def umbrella_hosts(pages: DataFrame, least: int = 2) -> DataFrame:
+    """(host, providers): hosts on which at least so many providers have pages (provider, url)."""
+    per = pages.select(urlfn.host(F.col("url")).alias("host"), "provider").groupBy("host").agg(F.countDistinct("provider").alias("providers"))
+    return per.where(F.col("providers") >= least)
+
+
 def site_of(host: Column) -> Column:
     """The last two parts of a host."""
     return F.substring_index(host, ".", -2)

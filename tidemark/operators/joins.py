@@ -35,11 +35,12 @@ def asof_next(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
 def grid_pairs(a: DataFrame, b: DataFrame, metres: float, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(a, b, metres): points at most ``metres`` apart, by cells of that size and their neighbours.
 
-    Latitudes stay within 60 degrees of the equator, where two degrees of longitude are a degree's length at least.
+    Latitudes stay within 60 degrees of the equator, where two degrees of longitude are a degree's length at least; others are an error.
     """
+    far = lambda c: F.when(F.abs(F.col(c)) > 60, F.raise_error(F.lit("a latitude beyond 60 degrees"))).otherwise(F.col(c))
     step = metres / 111_000
     col_step = step / 0.5  # cells wide enough for latitudes up to 60 degrees
-    cell = lambda d: d.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.floor(F.col(lat) / step).alias("y"), F.floor(F.col(lon) / col_step).alias("x"))
+    cell = lambda d: d.select(F.col(key).alias("id"), far(lat).cast("double").alias("lat"), F.col(lon).alias("lon"), F.floor(F.col(lat) / step).alias("y"), F.floor(F.col(lon) / col_step).alias("x"))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     l = cell(a).withColumn("d", near).withColumns({"y": F.col("y") + F.col("d.dy"), "x": F.col("x") + F.col("d.dx")}).drop("d").alias("l")
     r = cell(b).alias("r")
@@ -47,6 +48,14 @@ def grid_pairs(a: DataFrame, b: DataFrame, metres: float, key: str = "id", lat:
     return l.join(r, ["y", "x"]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), m.alias("metres")).where(F.col("metres") <= metres)
 
 
+def nearest(places: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(place, nearest, metres): of each named place (place, lat, lon; they are few and broadcast) the nearest row (key, lat, lon), ties to
+    the smaller key."""
+    p = F.broadcast(places.select("place", F.col("lat").alias("__lat"), F.col("lon").alias("__lon")))
+    d = rows.crossJoin(p).withColumn("__d", numbers.haversine_m(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
+    return d.groupBy("place").agg(F.min_by(key, F.struct("__d", key)).alias("nearest"), F.min("__d").alias("metres"))
+
+
 def pareto(df: DataFrame, group: Sequence[str], later: str, lower: str) -> DataFrame:
     """Rows not dominated by one at least as late and strictly lower, or later and as low: a profile."""
     w = W.partitionBy(*group).orderBy(F.col(later).desc(), F.col(lower)).rowsBetween(W.unboundedPreceding, -1)

@@ -67,6 +67,24 @@ def providers_in_bounds(points: DataFrame, south: float, west: float, north: flo
     return points.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).select("provider").distinct()
 
 
+def places(rows: DataFrame, owner: str, key: str) -> DataFrame:
+    """(lat, lon, n, owners, first): rows of one place (coordinates to three decimals), how many and of how many owners."""
+    return rows.groupBy(numbers.coarsened(F.col("lat")).alias("lat"), numbers.coarsened(F.col("lon")).alias("lon")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(owner).alias("owners"), F.min(key).alias("first"))
+
+
+def bounding_box(rows: DataFrame) -> DataFrame:
+    """(south, west, north, east, n) of all rows."""
+    return rows.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"), F.count(F.lit(1)).alias("n"))
+
+
+def provider_states(providers: DataFrame, offers: DataFrame, key: str, name: str) -> DataFrame:
+    """(id, name, n, state): providers with their number of offers (provider): active, without_offers, or unlisted where only offers are."""
+    per = offers.groupBy(F.col("provider").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(F.col(key).isNull(), "unlisted").when(F.col("n").isNull(), "without_offers").otherwise("active")
+    j = providers.select(key, name).join(per, F.col(key) == F.col("__p"), "full_outer")
+    return j.select(F.coalesce(key, "__p").alias("id"), F.col(name).alias("name"), F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
+
+
 def reach_order(minutes: Column, metres: Column) -> Sequence[Column]:
     """Sort columns by reach: travel times before distances, the nearer first, none last."""
     return [F.when(minutes.isNotNull(), 0).when(metres.isNotNull(), 1).otherwise(2), F.coalesce(minutes, metres)]

@@ -104,7 +104,10 @@ def reverse_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.reachable(edges, spark.createDataFrame([(1003,)], "node long"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'part': x}) AS l FROM documents),
+    f AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN length(a.part) + 1 + length(b.part) <= 2000 THEN {'done': a.done, 'part': a.part || chr(10) || b.part} ELSE {'done': list_append(a.done, a.part), 'part': b.part} END) AS r FROM l),
+    p AS (SELECT doc_id, list_append(r.done, r.part) AS p FROM f), u AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM p)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS digest FROM u""")
 def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = matching.text_parts(F.col("text"), 2000)
     return B.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "t")).select("doc_id", "part", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers, textfn, timefn, urlfn
-from ..operators import agenda, filters, joins, linkage, listing, measures, ranks, recurrence, sessions, state, transit
+from ..operators import agenda, discovery, filters, joins, linkage, listing, measures, ranks, recurrence, sessions, site, state, transit
 from ..sources import sinks
 from . import bindings as B
 
@@ -179,7 +179,8 @@ def recently_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 250")
 def take_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(250)
+    o = B.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return listing.take_groups(o, ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"], 250)
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)) WHERE r <= 3""")
@@ -223,16 +224,14 @@ def week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(s_suppkey, l_suppkey) AS id, s_name AS name, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN s_suppkey IS NULL THEN 'unlisted' WHEN n IS NULL THEN 'without_offers' ELSE 'active' END AS state FROM c FULL JOIN p ON s_suppkey = l_suppkey""")
 def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "supplier").where("s_suppkey % 4 != 0").select("s_suppkey", "s_name")
-    p = B.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 != 0").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    kind = F.when(F.col("s_suppkey").isNull(), "unlisted").when(F.col("n").isNull(), "without_offers").otherwise("active")
-    return c.join(p, c["s_suppkey"] == p["l_suppkey"], "full_outer").select(F.coalesce("s_suppkey", "l_suppkey").alias("id"), F.col("s_name").alias("name"), F.coalesce("n", F.lit(0)).alias("n"), kind.alias("state"))
+    offers = B.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 != 0").select(F.col("l_suppkey").alias("provider"))
+    return site.provider_states(c, offers, "s_suppkey", "s_name")
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, 49.0 + (s_suppkey % 37) / 400.0 AS lat, 11.0 + (s_suppkey % 53) / 300.0 AS lon FROM supplier)
     SELECT round(CAST(lat AS DOUBLE), 3) AS lat, round(CAST(lon AS DOUBLE), 3) AS lon, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT s_nationkey) AS BIGINT) AS nations, min(s_suppkey) AS first FROM s GROUP BY 1, 2""")
 def places_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = B.suppliers_at(spark, sf_dir)
-    return s.groupBy(numbers.coarsened(F.col("lat")).alias("lat"), numbers.coarsened(F.col("lon")).alias("lon")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_nationkey").alias("nations"), F.min("s_suppkey").alias("first"))
+    return site.places(B.suppliers_at(spark, sf_dir), "s_nationkey", "s_suppkey").withColumnRenamed("owners", "nations")
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2),
@@ -267,7 +266,7 @@ def provider_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(49.0 + (s_suppkey % 37) / 400.0) AS south, min(11.0 + (s_suppkey % 53) / 300.0) AS west, max(49.0 + (s_suppkey % 37) / 400.0) AS north, max(11.0 + (s_suppkey % 53) / 300.0) AS east, CAST(count(*) AS BIGINT) AS n FROM supplier")
 def bbox_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.suppliers_at(spark, sf_dir).agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"), F.count(F.lit(1)).alias("n"))
+    return site.bounding_box(B.suppliers_at(spark, sf_dir))
 
 
 # --- joins and differences
@@ -399,8 +398,7 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH p AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host, page_id % 10 AS provider FROM pages)
     SELECT host, CAST(count(DISTINCT provider) AS BIGINT) AS providers FROM p GROUP BY 1 HAVING count(DISTINCT provider) >= 2""")
 def umbrella_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.table(spark, sf_dir, "pages").select(urlfn.host(F.col("url")).alias("host"), (F.col("page_id") % 10).alias("provider"))
-    return p.groupBy("host").agg(F.countDistinct("provider").alias("providers")).where("providers >= 2")
+    return discovery.umbrella_hosts(B.table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 10).alias("provider")))
 
 
 @query(r"""WITH k AS (SELECT p_partkey, p_size, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z]{4,}'))) AS w FROM part)
@@ -443,10 +441,8 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT place, arg_min(s_suppkey, (d, s_suppkey)) AS nearest, round(min(d), 3) AS metres FROM (SELECT b.place, a.s_suppkey, {_HAV} AS d FROM {_AT} a, (VALUES ('north', 49.08, 11.1), ('south', 49.01, 11.05)) b(place, lat, lon)) GROUP BY 1")
 def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = spark.createDataFrame([("north", 49.08, 11.1), ("south", 49.01, 11.05)], "place string, plat double, plon double")
-    d = numbers.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    rows = B.suppliers_at(spark, sf_dir).join(F.broadcast(places)).withColumn("d", d)  # two named places against all rows
-    return rows.groupBy("place").agg(F.min_by("s_suppkey", F.struct("d", "s_suppkey")).alias("nearest"), F.round(F.min("d"), 3).alias("metres"))
+    places = spark.createDataFrame([("north", 49.08, 11.1), ("south", 49.01, 11.05)], "place string, lat double, lon double")
+    return joins.nearest(places, B.suppliers_at(spark, sf_dir), "s_suppkey").withColumn("metres", F.round("metres", 3))
 
 
 # --- linkage
