@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import build_queries as _build  # noqa: F401  registers its queries
+from . import function_queries as _functions  # noqa: F401  registers its queries
 from . import more_queries as _more  # noqa: F401  registers its queries
 from . import queries as q
 from . import rollup_queries as _rollups  # noqa: F401  registers its queries
