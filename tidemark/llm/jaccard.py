@@ -17,6 +17,7 @@ from .components import components
 
 SHINGLE = 5  # words
 TREES, DEPTH = 20, 6  # prefix tries of a signature, and values in a trie's longest prefix
+# Joins of texts by their ids are merge joins at every size (hint "merge"): no table of texts is gathered on the driver.
 BLOCK, BLOCK_VALUES = 256, 1 << 21  # texts of a large group, and shingles of theirs, that one task compares with as many others
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,7 +215,7 @@ def _tasks(members: DataFrame, blocks: DataFrame, columns: list[str], per_task:
     out one by one. Adds low, high, side and task."""
     n = blocks.agg(F.sum("n")).first()[0] or 0
     spread = F.expr("transform(sequence(0, blocks - 1), b -> named_struct('low', least(block, b), 'high', greatest(block, b), 'side', if(block <= b, 0, 1)))")
-    placed = members.join(blocks.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = members.join(blocks.select("grp", "blocks").hint("merge"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("at", F.explode(spread)).select("grp", "rep", *columns, "blocks", "at.*")
     shared = F.pmod(F.xxhash64("grp"), F.lit(max(1, n // per_task)))
     return placed.withColumn("task", F.when(F.col("blocks") == 1, shared).otherwise(F.xxhash64("grp", "low", "high")))
@@ -237,20 +238,20 @@ def _groups(texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     at = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sketch, t * {DEPTH} + 1, {depth}))")
     nodes = texts.select("rep", "active", F.posexplode(at).alias("tree", "node"))
     met = nodes.groupBy("tree", "node").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.bool_or("active").alias("open")).where("pivot < last and open")
-    held = written(nodes.join(met.select("tree", "node", "pivot"), ["tree", "node"]).where("rep != pivot").select(F.xxhash64("tree", "node").alias("grp"), "rep", "pivot"))
+    held = written(nodes.join(met.select("tree", "node", "pivot").hint("merge"), ["tree", "node"]).where("rep != pivot").select(F.xxhash64("tree", "node").alias("grp"), "rep", "pivot"))
     sketches = texts.select("rep", "sketch")
-    pairs = held.select("rep", "pivot").distinct().join(sketches, "rep").join(sketches.toDF("pivot", "pivot_sketch"), "pivot")
+    pairs = held.select("rep", "pivot").distinct().join(sketches.hint("merge"), "rep").join(sketches.toDF("pivot", "pivot_sketch").hint("merge"), "pivot")
     near = written(pairs.select("rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_likeness, "rep long, pivot long, agree int"))
     links = near.where(F.col("agree") >= low).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     found = components(links)
     joined = found.withColumnsRenamed({"id": "rep", "component": "part"})
-    mixed = held.join(near.where(F.col("agree") < low).select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("grp").distinct()
-    open_ = held.join(near.where(F.col("agree") < high).select("rep", "pivot"), ["rep", "pivot"], "left_semi").join(mixed, "grp", "left_semi").select("grp", "rep").distinct()
-    open_ = written(open_.join(joined, "rep", "left").select("grp", "rep", F.coalesce("part", "rep").alias("part")))
+    mixed = held.join(near.where(F.col("agree") < low).select("rep", "pivot").hint("merge"), ["rep", "pivot"], "left_semi").select("grp").distinct()
+    open_ = held.join(near.where(F.col("agree") < high).select("rep", "pivot").hint("merge"), ["rep", "pivot"], "left_semi").join(mixed.hint("merge"), "grp", "left_semi").select("grp", "rep").distinct()
+    open_ = written(open_.join(joined.hint("merge"), "rep", "left").select("grp", "rep", F.coalesce("part", "rep").alias("part")))
     sizes = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("grp", "n", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("blocks"))
     sizes = written(sizes)
     if not sizes.isEmpty():
-        tasks = _tasks(open_.join(sketches, "rep"), sizes, ["sketch", "part"], 4096)
+        tasks = _tasks(open_.join(sketches.hint("merge"), "rep"), sizes, ["sketch", "part"], 4096)
 
         def alike(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([x for _, task in rows.groupby(["grp", "low", "high"]) for x in _alike(task, low)], columns=["u", "v"]).astype("int64")
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     signed = written(rows.mapInArrow(sign, "doc_id long, copy binary, sketch binary"))
     one = written(signed.groupBy("doc_id").agg(F.min("copy").alias("copy")))
     classes = written(one.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    first = signed.where("sketch is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).dropDuplicates(["doc_id"])
+    first = signed.where("sketch is not null").join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "copy"]).dropDuplicates(["doc_id"])
     texts = written(first.select(F.col("doc_id").alias("rep"), "copy", "copies", "sketch", F.lit(True).alias("active")))
     drop(signed)
     verified: list[DataFrame] = []
@@ -315,7 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
         if verified:
             per = reduce(DataFrame.unionByName, verified).where("other is null").groupBy("rep").agg(F.sum("k").alias("k"), F.sum("chance").alias("chance"))
             settled = per.where((F.col("chance") + float(recall(threshold, depth))) / (F.col("k") + 1) >= target).select("rep", F.lit(False).alias("open"))
-            last, texts = texts, written(texts.join(settled, "rep", "left").withColumn("active", F.coalesce("open", F.lit(True))).drop("open"))
+            last, texts = texts, written(texts.join(settled.hint("merge"), "rep", "left").withColumn("active", F.coalesce("open", F.lit(True))).drop("open"))
             drop(last)
     drop(texts)
     own = classes.select("copy", "rep", "copies")
@@ -325,15 +326,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
         found = reduce(DataFrame.unionByName, verified)
         linked = components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
         degree = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-        per = own.join(degree, "rep", "left").join(linked.withColumnsRenamed({"id": "rep"}), "rep", "left")
+        per = own.join(degree.hint("merge"), "rep", "left").join(linked.withColumnsRenamed({"id": "rep"}).hint("merge"), "rep", "left")
         per = per.select("copy", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return one.join(per, "copy").select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links")
+    return one.join(per.hint("merge"), "copy").select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links")
 
 
 def _verified(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame | None:
     """(rep, other, links, k, chance) of the candidates first met at ``depth``, as _compare gives them; none without a group."""
     groups = _groups(texts, depth, threshold)
-    members = written(groups.join(texts, "rep"))
+    members = written(groups.join(texts.hint("merge"), "rep"))
     drop(groups)
     if members.isEmpty():
         return None
