@@ -29,5 +29,5 @@ def test_pages(spark):
     d = spark.createDataFrame([(page, "am 1.7.2024, 01.07.2024, 31.6.2024, 2.1.2024 und 5.12.2026")], "h string, t string")
     row = d.select(pagefn.links(F.col("h")), pagefn.frames(F.col("h")), F.transform(pagefn.json_ld_events(F.col("h")), lambda e: e["name"]), pagefn.future_dates(F.col("t"), F.lit("2024-06-01").cast("date"))).first()
     assert row[0] == ["/x", "/y"] and row[1] == ["/f"] and sorted(row[2]) == ["A", "B", "C"] and row[3] == 1
-    row = spark.range(1).select(pagefn.kind_of(F.lit("Text/HTML; charset=utf-8")), pagefn.kind_of(F.lit("image/png")), pagefn.failure_class(F.lit(410)), pagefn.failure_class(F.lit(500)), pagefn.bot_wall(F.lit("Please verify you are human"))).first()
-    assert tuple(row) == ("html", None, "permanent", "temporary", True)
+    row = spark.range(1).select(pagefn.kind_of(F.lit("Text/HTML; charset=utf-8")), pagefn.kind_of(F.lit("image/png")), pagefn.failure_class(F.lit(410)), pagefn.failure_class(F.lit(500)), *[pagefn.bot_wall(F.lit(t)) for t in ("Just a moment...\nEnable JavaScript", "Kurse und Performance, sicher", "Checking your browser" + " x" * 3000)]).first()
+    assert tuple(row) == ("html", None, "permanent", "temporary", True, False, False)
