@@ -90,8 +90,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clas
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
-            i, x = rows[r]
-            i, x = np.append(i, BUCKETS), np.append(x, 1.0)
+            i, x = np.append(rows[r][0].astype(np.int64), BUCKETS), np.append(rows[r][1].astype(np.float64), 1.0)
             w = weights(i)
             s = x @ w
             p = np.exp(s - s.max())
@@ -173,15 +172,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     taken = sample.mapInArrow(features, "id string, lang string, at array<int>, x array<float>").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
     labels = np.array([langs.index(v) for v in taken.column("lang").to_pylist()], dtype=np.int64)
-    rows = [(a.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64)) for a, x in zip(taken.column("at"), taken.column("x"), strict=True)]
+    rows = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(taken.column("at"), taken.column("x"), strict=True)]  # views, no copies
     if not rows:
         return Model(langs, idf, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs), np.float32), 1.0)
     tune = np.random.default_rng(1).random(len(rows)) < calibration
     fit = [i for i in range(len(rows)) if not tune[i]] or list(range(len(rows)))
     w, b = fit_ftrl([rows[i] for i in fit], labels[fit], len(langs))
     held = np.flatnonzero(tune)
-    logits = np.array([rows[i][1] @ w[rows[i][0]] + b for i in held])
-    return Model(langs, idf, w.astype(np.float32), b.astype(np.float32), temperature(logits, labels[held]))
+    logits = np.array([rows[i][1].astype(np.float64) @ w[rows[i][0]] + b for i in held])
+    model = Model(langs, idf, w.astype(np.float32), b.astype(np.float32), temperature(logits, labels[held]))
+    del rows, taken
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
