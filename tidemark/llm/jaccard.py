@@ -350,8 +350,9 @@ def _verified(rows: DataFrame, texts: DataFrame, depth: int, threshold: float) -
             kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 3, 4, 5, 6)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(values, pa.list_(pa.int64()))], names=["rep", "grp", "copies", "active", "sketch", "shingles"])
 
-    wanted = bounded(members.select("rep", "copy", "grp", "copies", "active", "sketch"), 200_000)
-    with_text = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "text", "copy", "grp", "copies", "active", "sketch")
+    # Only ids are broadcast, to keep other texts from being shuffled; the rest of a text's row meets it in a merge join.
+    wanted = bounded(members.select("rep"), 200_000)
+    with_text = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").join(members.hint("merge"), "rep").select("rep", "text", "copy", "grp", "copies", "active", "sketch")
     made = written(with_text.mapInArrow(sets, "rep long, grp long, copies long, active boolean, sketch binary, shingles array<long>"))
     sizes = made.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("values"))
     sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")))
