@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, line_dedup, mixing, packing, quality, secrets, sharding, topk
+from . import byte_bpe, divergence, hard_negatives, html_text, jaccard, langid, line_dedup, mixing, packing, quality, secrets, sharding, topk
 
 SHARDS = 24
 
@@ -77,6 +77,28 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"), "copies", at(1, "shard"), at(1, "place"), at(2, "shard"), at(2, "place"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three hardest negatives for each of the five best positives of every vector whose id is divisible by 50; see ``hard_negatives.mine``
+    for odd rows."""
+    rows = _read(spark, sf_dir, "embeddings")
+    label = hard_negatives.relabelled(F.col("label").cast("long"), F.col("vec_id"))
+    rows = rows.select("vec_id", label.alias("label"), topk.integers(F.col("embedding")).alias("v"))
+    anchors = rows.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "anchor_id")
+    return hard_negatives.mine(anchors, rows)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, and the bytes that they decode to, as digests; a null text has no ids."""
+    ids = byte_bpe.encode(_read(spark, sf_dir, "documents"), columns=["doc_id"])
+    out = byte_bpe.decode(ids, columns=["doc_id", "ids"])
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs of sources of a language, and the terms that each source uses most beyond its language."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's size and target, and whether its taken words are within its longest document of it."""
     out = mixing.mix(_read(spark, sf_dir, "documents")).groupBy(F.col("__source").alias("source"))
@@ -86,7 +108,7 @@ def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_search, op2_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_secret_scan, op6_sharding, op7_language_id, op8_ngram_jaccard_join, op9_html_extraction, op10_source_mixing, mix_source_targets)
+    for f in (op1_topk_search, op2_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_secret_scan, op6_sharding, op7_language_id, op8_ngram_jaccard_join, op9_html_extraction, op10_source_mixing, op11_hard_negatives, op12_byte_bpe, op13_source_divergence, mix_source_targets)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -127,6 +149,31 @@ ORACLE_SQL: dict[str, str] = {
                NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12 OR n_dup_lines * 2 > lines OR capitals * 2 > word_chars
                     OR marks * 4 > n_words OR lettered * 10 < n_words * 6 OR bullets * 10 > lines * 9 OR ellipses * 10 > lines * 5 OR top * 10 > n_words * 4) AS kept
         FROM b""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        w AS (SELECT id, lang, source, unnest(t) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+        l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM k GROUP BY 1),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        o AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL),
+        g AS (SELECT g.lang, g.source, coalesce(o.total, 0) AS total, coalesce(l.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN o USING (lang, source) LEFT JOIN l USING (lang)),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 2)) // (g.total + 2 * g.v) AS p,
+                     1 + (1000000000 * (CAST(k.n AS HUGEINT) + 2)) // (l.total + 2 * l.v) AS q
+              FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10""",
     "mix_source_targets": r"""
         WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents), s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1),
         w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5 * sum(size) OVER () AS goal FROM s),
