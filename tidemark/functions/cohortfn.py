@@ -8,38 +8,32 @@ from pyspark.sql import functions as F
 from .exprfn import let
 from .timefn import age_in_months, month_window
 
-# Months by their first three letters, and the forms of a span: "geb. März 2025 - Mai 2025", "geb. 02-06/2026".
+# Months by their first three letters.
 MONTHS = {"jan": 1, "jän": 1, "feb": 2, "mär": 3, "mae": 3, "mrz": 3, "apr": 4, "mai": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "nov": 11, "dez": 12}
-_LEAD, _NAME, _NUM, _YEAR, _DASH = r"(?i)\bgeb(?:\.|oren)\s+(?:im\s+)?", r"([a-zäöü]{3,9})\.?", r"(\d{1,2})", r"(20\d\d)", r"\s*(?:[-–—]|bis)\s*"
-BY_NAME = rf"{_LEAD}{_NAME}(?:\s+{_YEAR})?(?:{_DASH}{_NAME})?\s+{_YEAR}"
-BY_NUMBER = rf"{_LEAD}{_NUM}(?:/{_YEAR})?(?:{_DASH}{_NUM})?/{_YEAR}"
-
-
-def _month(text: Column) -> Column:
-    """A month by its number or name; 0 for another word."""
-    names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    return F.when(text.rlike(r"^\d+$"), text.cast("int")).otherwise(F.coalesce(F.try_element_at(names, F.substring(F.lower(text), 1, 3)), F.lit(0)))
-
-
-def _span(parts: Column) -> Column:
-    """First and last day of a span (first month, its year, second month, last year; "" where none)."""
-    number = lambda k: F.when(parts[k] != "", parts[k].cast("int"))
-    told = F.struct(_month(parts[0]).alias("m"), F.when(parts[2] != "", _month(parts[2])).alias("n"), number(1).alias("first"), number(3).alias("last"))
-
-    def days(t: Column) -> Column:
-        end = F.coalesce(t["n"], t["m"])
-        # Without a first year "Dec. to Feb. 2026" begins in the year before.
-        year = F.coalesce(t["first"], t["last"] - F.coalesce((t["m"] > t["n"]).cast("int"), F.lit(0)))
-        date = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
-        return F.struct(date(year, t["m"]).alias("first"), F.last_day(date(t["last"], end)).alias("last"))
-
-    return let(let(told, days), lambda d: F.when(d["first"] <= d["last"], d))
+# The written forms of a span of births, "geb. März 2025 - Mai 2025" and "geb. 02-06/2026": month, its year, last month, last year.
+NAMED = r"(?i)\bgeb(?:\.|oren)\s+(?:im\s+)?([a-zäöü]{3,9})\.?(?:\s+(20\d\d))?(?:\s*(?:[-–—]|bis)\s*([a-zäöü]{3,9})\.?)?\s+(20\d\d)"
+NUMBERED = r"(?i)\bgeb(?:\.|oren)\s+(?:im\s+)?(\d{1,2})(?:/(20\d\d))?(?:\s*(?:[-–—]|bis)\s*(\d{1,2}))?/(20\d\d)"
 
 
 def birth_cohort(title: Column) -> Column:
-    """struct<first, last>: first and last day of birth named in a title; null without a year or for an impossible span."""
-    parts = lambda form: F.array(*[F.regexp_extract(title, form, k) for k in range(1, 5)])
-    return let(F.when(title.rlike(BY_NAME), parts(BY_NAME)).when(title.rlike(BY_NUMBER), parts(BY_NUMBER)), lambda p: F.when(p.isNotNull(), _span(p)))
+    """struct<first, last>: first and last day of birth named in a title; null without a year or for an impossible span.
+
+    Months are counted from year 0, so that a span is two numbers and "Dec. to Feb. 2026" goes back a year by taking twelve away.
+    """
+    number = F.create_map(*[F.lit(x) for pair in [*MONTHS.items(), *((str(k), k) for k in range(1, 13)), *((f"0{k}", k) for k in range(1, 10))] for x in pair])
+    month = lambda word: F.try_element_at(number, F.left(F.lower(word), F.lit(3)))
+    parts = lambda form: [F.nullif(F.regexp_extract(title, form, k), F.lit("")) for k in range(1, 5)]
+    written = F.coalesce(*[F.when(title.rlike(form), F.array(*parts(form))) for form in (NAMED, NUMBERED)])
+
+    def span(p: Column) -> Column:
+        low, high = month(p[0]), F.when(p[2].isNull(), month(p[0])).otherwise(month(p[2]))
+        last = p[3].cast("int") * 12 + high - 1
+        first = F.coalesce(p[1].cast("int"), p[3].cast("int") - (low > high).cast("int")) * 12 + low - 1
+        return F.struct(first.alias("first"), last.alias("last"))
+
+    day = lambda n: F.make_date(F.floor(n / 12).cast("int"), (n % 12 + 1).cast("int"), F.lit(1))
+    named = lambda s: F.when(s["first"] <= s["last"], F.struct(day(s["first"]).alias("first"), F.last_day(day(s["last"])).alias("last")))
+    return let(let(written, span), named)
 
 
 def cohort_age(cohort: Column, at: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -122,15 +121,31 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def best_ratio(a: Sequence[str], b: Sequence[str]) -> float | None:
+    """The best ``lcs_ratio`` of a form of one name with a form of another, 1 where one holds the other; compared by letters only where none does."""
+    pairs = [(x, y) for x in set(a) for y in set(b)]
+    if any(x in y or y in x for x, y in pairs):
+        return 1.0
+    return max((lcs_ratio(x, y) for x, y in pairs), default=None)
+
+
+@F.pandas_udf(T.DoubleType())
+def forms_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``best_ratio`` per row; null if either side is null or has no form."""
+    return pd.Series([None if x is None or y is None else best_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def similar_title(a: Column, b: Column, stop: Sequence[str] = (), least: float = 0.6) -> Column:
-    """Do titles share a keyword, or a common subsequence of ``least``? The costly test comes second."""
-    return F.arrays_overlap(keywords(a, stop), keywords(b, stop)) | (title_ratio(F.lower(a), F.lower(b)) >= least)
+    """Do titles share a keyword, or a common subsequence of ``least``?
 
+    A Python function under a condition is computed for all rows. So it gets nulls where it isn't needed: where a keyword is shared, and where
+    the lengths alone rule the subsequence out.
+    """
+    shared = F.arrays_overlap(keywords(a, stop), keywords(b, stop))
+    short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    open_ = ~shared & (2 * short >= least * both)
+    return shared | F.coalesce(title_ratio(F.when(open_, F.lower(a)), F.when(open_, F.lower(b))) >= least, F.lit(False))
 
-@F.pandas_udf(T.StringType())
-def ascii_form(text: pd.Series) -> pd.Series:
-    """Compatibility form without combining marks, for letters beyond Latin."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
 def base36(n: Column, width: int = 8) -> Column:

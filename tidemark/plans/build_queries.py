@@ -23,7 +23,8 @@ def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda d: F.when(size % 7 == 0, F.lit(f" ab {d}")).otherwise("")
     a = F.concat(n, F.lit(" Gruppe "), letter(size % 3), month("Juni"), day("21.02."))
     b = F.concat(n, F.lit(" Kurs Gruppe "), letter(F.floor(size / 2) % 3), month("Mai"), day("1.3.1998"))
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(titlefn.core_words(a), " ").alias("core"), titlefn.labels(a)[0].alias("label"), titlefn.conflicting_labels(a, b).alias("conflicting"), titlefn.same_core_title(a, b).alias("same"))
+    told = B.table(spark, sf_dir, "part").select("p_partkey", titlefn.title_profile(a).alias("p"), titlefn.title_profile(b).alias("q"))
+    return told.select("p_partkey", F.array_join("p.core", " ").alias("core"), F.col("p.facets")[0][0].alias("label"), titlefn.contradict(F.col("p"), F.col("q"), 2).alias("conflicting"), titlefn.alike(F.col("p"), F.col("q")).alias("same"))
 
 
 @query("""SELECT c_custkey, CASE WHEN a.l IS NULL OR b.l IS NULL THEN true ELSE (b.l <= a.l AND a.h <= b.h) OR (a.l <= b.l AND b.h <= a.h) END AS compatible FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {'l': c_custkey % 12, 'h': c_custkey % 12 + 6} END AS a, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE {'l': c_custkey % 11, 'h': c_custkey % 11 + c_custkey % 9} END AS b FROM customer)""")
