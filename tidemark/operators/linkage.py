@@ -87,19 +87,20 @@ def link_stages(old: DataFrame, new: DataFrame, keys: Sequence[str], exact: str,
     return found
 
 
-def assigned_ids(rows: DataFrame, key: str, used: DataFrame) -> DataFrame:
-    """(key, id, seed): short ids by hash of the key; an id claimed twice goes to the smallest key, others, and those whose id is in
-    ``used``, try the next seed until every key has one."""
-    left, done = cut(rows.select(key).where(F.col(key).isNotNull()).distinct()), None
+def assigned_ids(rows: DataFrame, key: str, used: DataFrame, row: str | None = None) -> DataFrame:
+    """(key, id, seed), or (row, key, id, seed): short ids by hash of the key; an id claimed twice goes to the smallest row, others, and those
+    whose id is in ``used``, try the next seed until every one has an id. Rows are the different keys, or what ``row`` names."""
+    names = [key] if row is None else [row, key]
+    left, done = cut(rows.select(*names).where(F.col(key).isNotNull()).distinct()), None
     for seed in count():
         tried = left.withColumn("id", idfn.short_id(F.col(key), seed)).withColumn("seed", F.lit(seed))
         free = tried.join(used.select("id"), "id", "left_anti")
         if done is not None:
             free = free.join(done.select("id"), "id", "left_anti")
-        won = free.groupBy("id").agg(F.min(key).alias(key), F.first("seed").alias("seed")).select(key, "id", "seed")
+        won = free.groupBy("id").agg(F.min(F.struct(key, *names[:-1])).alias("__w"), F.first("seed").alias("seed")).select(*[F.col(f"__w.{n}").alias(n) for n in names], "id", "seed")
         done = won if done is None else done.unionByName(won)
         done = cut(done)
-        left = cut(left.join(done, key, "left_anti"))
+        left = cut(left.join(done, names, "left_anti"))
         if left.isEmpty():
             break
     return done
