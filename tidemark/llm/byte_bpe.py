@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -17,8 +18,8 @@ from .packing import RUN
 FILE = "byte_bpe_multi_50k.tiktoken"
 WIDTHS = (*range(2, 25), 32, 48, 64, 96, 128)  # of matrices; a longer piece is a row of its own
 CELLS = 1 << 16  # of one matrix
-GROUP = 1 << 22  # code points of texts encoded together
-CACHE_ENTRIES, CACHE_LENGTH = 400_000, 200  # runs remembered, and the longest of them
+GROUP = 1 << 20  # code points of texts encoded together
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 200  # runs remembered, and the longest of them
 NONE = np.iinfo(np.int32).max  # rank of a pair that is no token
 _FREE = np.uint64(2**64 - 1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -75,13 +76,20 @@ class Vocabulary:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.words = pattern == _default_pattern()
-        joined = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.pairs = Pairs(*np.array(joined or [(0, 0, NONE)], dtype=np.int64).T)
         self.seen: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> Pairs:
+        """What encoding needs, but decoding doesn't."""
+        joined = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        return Pairs(*np.array(joined or [(0, 0, NONE)], dtype=np.int64).T)
+
+    @cached_property
+    def packed(self) -> dict[bytes, bytes]:
+        return {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
+
     def merge_rows(self, rows: list[bytes]) -> list[bytes]:
         """Ids of byte strings of like length, as rows of a padded matrix.
 
@@ -214,7 +222,7 @@ class Vocabulary:
                 yield from self._encode(group)
                 group, size = [], 0
                 runs, parts = (m[0] for m in RUN.finditer(text)), []
-                while some := list(islice(runs, 1 << 18)):
+                while some := list(islice(runs, 1 << 17)):
                     parts += self._encode([some])
                 yield b"".join(parts)
                 continue
