@@ -52,6 +52,14 @@ def drop(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df`` (names don't tell capitals apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a written table, to be broadcast if it has at most ``rows`` rows, else for an ordinary join."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -321,9 +321,11 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
     The nearest is the one fewest elements away, then fewest blocks; of two at one distance a heading follows the one after it,
     others the good one. A fairly good block needs one good neighbour. Blocks of another article count as bad, but for the
-    page's title before one. On a page without good text all undecided blocks stay.
+    page's title before one. The page's title, its first h1, stays if the next decided block is good, however near the menu before it is.
+    On a page without good text all undecided blocks stay.
     """
     n = len(labels)
+    title = next((i for i, b in enumerate(found) if b.heading == 1), None)
     if "good" not in labels:
         return [label != "bad" for label in labels]
     sides: list[list[tuple[int, int, bool] | None]] = [[None, None] for _ in range(n)]
@@ -345,7 +347,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             continue
         before, after = sides[i]
         near = [s for s in (before, after) if s]
-        if label == "near":
+        if i == title and after and after[2]:
+            out.append(True)
+        elif label == "near":
             out.append(any(good for _, _, good in near))
         elif found[i].heading and before and after and before[0] == after[0]:
             out.append(after[2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, drop, written
+from .common import bounded, LOWER, SPACE, UPPER, drop, written
 
 
 def line_key(line: Column) -> Column:
@@ -97,18 +97,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     common = written(runs.all().where(F.col("n_docs") >= min_docs).select("hash", "holder"))
     drop(*[run for level in runs.levels for run in level])
     dropped = written(
-        lines.join(common, "hash")
+        lines.join(bounded(common, 100_000), "hash")  # a line of very many documents is no task of its own
         .where(F.col("doc_id") != F.col("holder"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("pos").alias("__dropped"))
-        .withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+        .agg(F.collect_set("pos").alias("dropped"))
     )
     drop(lines, common)
-    same = F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).eqNullSafe(F.col("__doc")) & F.xxhash64(F.coalesce(docs[text], F.lit(""))).eqNullSafe(F.col("__hash"))
-    both = docs.join(dropped, same, "left").withColumn("__lines", F.split(F.coalesce(docs[text], F.lit("")), "\n", -1))
-    both = both.withColumn("__n", F.size("__lines").cast("long")).withColumn("__d", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
-    both = both.withColumn("__d", F.when(F.col("__dropped").isNull(), F.lit(0)).otherwise(F.col("__d")).cast("long"))
-    left = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __dropped), i -> __lines[i]), '\\n')")
-    kept = F.when(F.col("__dropped").isNull(), F.coalesce(docs[text], F.lit(""))).otherwise(left)
-    rest = [docs[c] if c != text else kept.alias(text) for c in columns]
-    return both.select(*rest, F.col("__n").alias("n_lines"), F.col("__d").alias("n_dropped"))
+    # The row travels as one value, so that no column of it can clash with ours.
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("whole"))
+    rows = rows.withColumns({"text_hash": F.xxhash64("whole"), "lines": F.split("whole", "\n", -1)})
+    both = rows.join(dropped, ["doc_id", "text_hash"], "left")
+    left = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\\n')")
+    kept = F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(left)
+    rest = [F.col("row").getField(c).alias(c) if c != text else kept.alias(text) for c in columns]
+    gone = F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped"))
+    return both.select(*rest, F.size("lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))

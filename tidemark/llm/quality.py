@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_BREAK
+from .common import fresh_name, SPACE, WORD_BREAK
 
 
 @dataclass(frozen=True)
@@ -43,22 +43,23 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.btrim(text_of(F.col(text)), F.lit(SPACE))
     parts = F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, WORD_BREAK, -1))
-    d = docs.withColumn("__w", parts)
-    d = d.withColumn("n_words", F.size("__w").cast("long"))
+    held = fresh_name(docs, "held")  # one column for what comes in between; its name is no column's
+    d = docs.withColumn(held, parts)
+    d = d.withColumn("n_words", F.size(held).cast("long"))
     whole = text_of(F.col(text))
     d = d.withColumn("word_chars", (F.length(whole) - F.regexp_count(whole, F.lit(r"[\x20\x09-\x0D]"))).cast("long"))
     d = d.withColumn("n_symbols", F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"))
-    lines = F.filter(F.split(whole, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE)) != "")
-    d = d.withColumn("__l", lines)
-    d = d.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).drop("__l")
     # Windows as (hash, place), sorted: equal windows stand side by side.
-    hashes = F.expr("if(n_words < 3, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))")
-    d = d.withColumn("__h", hashes).drop("__w")
-    d = d.withColumn("__s", F.expr("if(size(__h) = size(array_distinct(__h)), cast(array() as array<struct<h:bigint,i:int>>), array_sort(transform(__h, (h, i) -> named_struct('h', h, 'i', i))))")).drop("__h")
-    again = F.expr("transform(filter(__s, (x, k) -> (k > 0 and __s[k - 1].h = x.h) or (k + 1 < size(__s) and __s[k + 1].h = x.h)), x -> x.i)")
-    d = d.withColumn("__r", F.array_sort(again)).drop("__s")
-    covered = F.expr("aggregate(__r, named_struct('n', 0L, 'last', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.last), 'last', i), a -> a.n)")
-    return d.withColumn("n_repeat_words", covered).drop("__r")
+    hashes = F.expr(f"if(n_words < 3, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64({held}[i], {held}[i + 1], {held}[i + 2])))")
+    d = d.withColumn(held, hashes)
+    d = d.withColumn(held, F.expr(f"if(size({held}) = size(array_distinct({held})), cast(array() as array<struct<h:bigint,i:int>>), array_sort(transform({held}, (h, i) -> named_struct('h', h, 'i', i))))"))
+    again = F.expr(f"transform(filter({held}, (x, k) -> (k > 0 and {held}[k - 1].h = x.h) or (k + 1 < size({held}) and {held}[k + 1].h = x.h)), x -> x.i)")
+    d = d.withColumn(held, F.array_sort(again))
+    covered = F.expr(f"aggregate({held}, named_struct('n', 0L, 'last', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.last), 'last', i), a -> a.n)")
+    d = d.withColumn("n_repeat_words", covered)
+    lines = F.filter(F.split(whole, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE)) != "")
+    d = d.withColumn(held, lines)
+    return d.withColumn("n_dup_lines", (F.size(held) - F.size(F.array_distinct(held))).cast("long")).drop(held)
 
 
 def base_failed() -> Column:
