@@ -1,10 +1,12 @@
 """Matching, timetable and further session rules on small tables."""
 
-from datetime import date, datetime
+import math
+import random
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import matching, sessions, timetable
+from tidemark.operators import discovery, joins, matching, sessions, timetable
 from tidemark.plans import more_queries, queries
 
 S = "array<struct<start timestamp_ntz, end timestamp_ntz>>"
@@ -77,3 +79,74 @@ def test_same_start_nearby_and_saved(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in more_queries.same_start_nearby(spark, str(tmp_path)).collect()] == [(1, 2)]  # not urgent; 0 and 3 have other titles
     saved = [(r["o_orderkey"], r["position"]) for r in queries.recently_saved(spark, str(tmp_path)).collect()]
     assert saved == [(i, i) for i in range(1197, -1, -7)]  # 172, over a hundred
+
+
+# --- one to one within a radius
+
+
+def test_matched_dates_equal_a_greedy_version_on_1000_cases(spark):
+    rng = random.Random(5)
+    found, reference, want = [], [], {}
+    start = datetime(2026, 3, 1, 10)
+    for case in range(1000):
+        spot = lambda: (49.0 + rng.choice([0, 0.0004, 0.0008, 0.0012]), 11.0 + rng.choice([0, 0.0006, 0.0011]))
+        f, r = ([(start + timedelta(hours=rng.randrange(2)), *spot()) for _ in range(rng.randint(0, 7))] for _ in range(2))
+        found += [(case, *x) for x in f]
+        reference += [(case, *x) for x in r]
+        left, hits = sorted(f, key=lambda x: x[1:]), 0
+        for when, lat, lon in sorted(r, key=lambda x: x[1:]):
+            near = [x for x in left if x[0] == when and apart(lat, lon, *x[1:]) <= 100]
+            if near:
+                left.remove(near[0])
+                hits += 1
+        if r:
+            want[case] = (hits, len(r))
+    frame = lambda rows: spark.createDataFrame(rows, "provider long, start timestamp_ntz, lat double, lon double")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    got = discovery.matched_dates(frame(found), frame(reference), day("2026-03-01"), day("2026-03-02"))
+    assert {r["provider"]: (r["hits"], r["reference"]) for r in got.collect()} == want
+    assert 0 < sum(h for h, _ in want.values()) < min(len(found), len(reference))
+
+
+def test_two_metres_across_any_border_of_cells(spark):
+    at = spark.createDataFrame([(1, datetime(2026, 3, 1), 49.00049, 11.0)], "provider long, start timestamp_ntz, lat double, lon double")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    assert discovery.matched_dates(at.withColumn("lat", F.lit(49.00051)), at, day("2026-01-01"), day("2027-01-01")).first()["hits"] == 1
+
+
+def test_pairs_of_points_at_every_latitude_and_over_the_date_line(spark):
+    rng = random.Random(6)
+    points = []
+    for _ in range(500):
+        lat, lon = rng.uniform(-90, 90), rng.choice([rng.uniform(-180, 180), rng.uniform(179.99, 180.01)])
+        wide = 0.03 / max(0.001, math.cos(math.radians(lat)))
+        points += [(lat, lon), (max(-90, min(90, lat + rng.uniform(-0.02, 0.02))), lon + rng.uniform(-wide, wide))]
+    points += [(89.9999, 10.0), (89.9999, -170.0), (90.0, 77.0), (-90.0, 0.0), (-89.999, 120.0)]
+    d = spark.createDataFrame([(i, lat, lon if lon <= 180 else lon - 360) for i, (lat, lon) in enumerate(points)], "id long, lat double, lon double")
+    want = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if abs(p[0] - q[0]) < 0.1 and apart(*p, *q) <= 2000}
+    assert {(r["a"], r["b"]) for r in joins.grid_pairs(d, d, 2000).collect()} == want
+    assert len(want) > len(points) + 200
+
+
+def test_greedy_flow_takes_as_many_as_both_have(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for case in range(60):
+        have = {("l", k): rng.randint(0, 4) for k in range(4)} | {("r", k): rng.randint(0, 4) for k in range(4)}
+        pairs = [(rng.randint(0, 2), i, j) for i in range(4) for j in range(4) if rng.random() < 0.6]
+        rows += [(s, f"{case}-{i}", f"{case}-{j}", have["l", i], have["r", j]) for s, i, j in pairs]
+        for _, i, j in sorted(pairs):
+            n = min(have["l", i], have["r", j])
+            if n:
+                want[f"{case}-{i}", f"{case}-{j}"] = n
+                have["l", i] -= n
+                have["r", j] -= n
+    p = spark.createDataFrame(rows, "s int, l string, r string, p int, q int")
+    assert {(r["l"], r["r"]): r["n"] for r in joins.greedy_flow(p, "l", "r", ["s"], "p", "q").collect()} == want
+    assert joins.greedy_flow(p.limit(0), "l", "r").count() == 0
+
+
+def apart(lat, lon, other_lat, other_lon):
+    a, b = math.radians(lat), math.radians(other_lat)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(other_lon - lon) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1, math.sqrt(h)))

@@ -185,14 +185,17 @@ def dates_at(offers: DataFrame, venues: DataFrame, months: int = 36) -> DataFram
 def matched_dates(found: DataFrame, reference: DataFrame, low: Column, high: Column, metres: float = 100) -> DataFrame:
     """(provider, hits, reference): reference dates in [low, high) matched one to one with found ones of an equal start at most ``metres`` away.
 
-    Per start, pairs are dealt by rank, so a start's dates at one place match as often as both sides have them."""
-    spot = [F.round("lat", 3).alias("y"), F.round("lon", 3).alias("x")]
-    nth = lambda d: d.withColumn("k", F.row_number().over(W.partitionBy("provider", "start", "y", "x").orderBy("lat", "lon")))
-    r = nth(reference.where((F.col("start") >= low) & (F.col("start") < high)).select("provider", "start", "lat", "lon", *spot))
-    f = nth(found.select("provider", "start", "lat", "lon", *spot)).select("provider", "start", "y", "x", "k", F.col("lat").alias("fl"), F.col("lon").alias("fo"))
-    j = r.join(f, ["provider", "start", "y", "x", "k"], "left")
-    near = F.coalesce(numbers.haversine_m(F.col("lat"), F.col("lon"), F.col("fl"), F.col("fo")) <= metres, F.lit(False))
-    return j.groupBy("provider").agg(F.count_if(near).alias("hits"), F.count(F.lit(1)).alias("reference"))
+    Each reference date, by place from the south-west on, takes the first found date in reach that is left. Dates of one start and
+    place are taken together, as often as both sides have them.
+    """
+    from .joins import greedy_flow, grid_pairs
+
+    at = ["provider", "start", "lat", "lon"]
+    spots = lambda d: d.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct(*at, "n"))
+    wanted = spots(reference.where((F.col("start") >= low) & (F.col("start") < high)))
+    near = grid_pairs(wanted, spots(found), metres, keys=["provider", "start"]).withColumns({"p": F.col("a.n"), "q": F.col("b.n")})
+    hits = greedy_flow(near, "a", "b", left_n="p", right_n="q").groupBy("a.provider").agg(F.sum("n").alias("hits"))
+    return wanted.groupBy("provider").agg(F.sum("n").alias("reference")).join(hits, "provider", "left").select("provider", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "reference")
 
 
 def changed(results: DataFrame, changing: Sequence[str] = ("extracted", "pending adopted", "held adopted", "removed")) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers
+from .lineage import cut
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
@@ -32,20 +33,27 @@ def asof_next(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
     return found.select(*left.columns, *[F.col("__next")[c].alias(c if c not in left.columns else f"next_{c}") for c in (value, *payload)])
 
 
-def grid_pairs(a: DataFrame, b: DataFrame, metres: float, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(a, b, metres): points at most ``metres`` apart, by cells of that size and their neighbours.
+def grid_pairs(a: DataFrame, b: DataFrame, metres: float, key: str = "id", lat: str = "lat", lon: str = "lon", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b, metres): points with equal ``keys`` at most ``metres`` apart, by cells of that size and their neighbours.
 
-    Latitudes stay within 60 degrees of the equator, where two degrees of longitude are a degree's length at least; others are an error.
+    Rows of cells have that height; along a row cells are as many as fit at the row's latitude next to a pole, so they are wide enough and no wider,
+    and they go round: points on either side of the date line meet. Longitudes may be given beyond 180 degrees.
     """
-    far = lambda c: F.when(F.abs(F.col(c)) > 60, F.raise_error(F.lit("a latitude beyond 60 degrees"))).otherwise(F.col(c))
-    step = metres / 111_000
-    col_step = step / 0.5  # cells wide enough for latitudes up to 60 degrees
-    cell = lambda d: d.select(F.col(key).alias("id"), far(lat).cast("double").alias("lat"), F.col(lon).alias("lon"), F.floor(F.col(lat) / step).alias("y"), F.floor(F.col(lon) / col_step).alias("x"))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    l = cell(a).withColumn("d", near).withColumns({"y": F.col("y") + F.col("d.dy"), "x": F.col("x") + F.col("d.dx")}).drop("d").alias("l")
-    r = cell(b).alias("r")
+    step = metres / 111_000  # degrees, a little more than they are
+    half = F.lit(math.sin(math.radians(step) / 2))
+    # The least cosine of a latitude in the row and its two neighbours, and how far apart in longitude two points there can be.
+    least = lambda y: F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(y - 1), F.abs(y + 2)) * step)))
+    around = lambda y: F.greatest(F.lit(1), F.floor(F.lit(360.0) * least(y) / step)).cast("long")
+    reach = lambda y: F.when(half >= least(y), F.lit(180.0)).otherwise(F.degrees(F.asin(half / least(y))) * 2.001)
+    turned = lambda c: F.pmod(F.col(c).cast("double"), F.lit(360.0))
+    point = lambda d: d.select(*keys, F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), turned(lon).alias("lon"), F.floor(F.col(lat) / step).alias("y"))
+    l = point(a).withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1))).withColumns({"n": around(F.col("y")), "far": reach(F.col("y"))})
+    cell = lambda x: F.floor(x * F.col("n") / 360).cast("long")
+    low, high = cell(F.col("lon") - F.col("far")), cell(F.col("lon") + F.col("far"))
+    l = l.withColumn("x", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + F.col("n") - 1)), lambda x: F.pmod(x, F.col("n")))))).alias("l")
+    r = point(b).withColumn("n", around(F.col("y"))).withColumn("x", F.least(cell(F.col("lon")), F.col("n") - 1)).drop("n").alias("r")
     m = numbers.haversine_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    return l.join(r, ["y", "x"]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), m.alias("metres")).where(F.col("metres") <= metres)
+    return l.join(r, [*keys, "y", "x"]).select(*keys, F.col("l.id").alias("a"), F.col("r.id").alias("b"), m.alias("metres")).where(F.col("metres") <= metres)
 
 
 def nearest(places: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -80,17 +88,32 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: Column) -> DataF
     return best(left).join(best(right).select(left, right), [left, right], "left_semi")
 
 
+def greedy_flow(pairs: DataFrame, left: str, right: str, order: Sequence[str] = (), left_n: str | None = None, right_n: str | None = None) -> DataFrame:
+    """(left, right, n): what taking the pairs one by one in ``order``, then by left and right, gives, each as often as both sides still have
+    (``left_n`` and ``right_n`` of a pair; once where not named).
+
+    In rounds: a pair that is the first open one of both its sides is taken at once, as nothing that comes before it in order touches it; it uses up a side
+    at least, whose other pairs go. So no group is one task, and as many equal things count as one pair. Rounds are as many as the longest chain of
+    pairs of which each waits for the one before.
+    """
+    n = lambda c: F.lit(1).cast("long") if c is None else F.col(c).cast("long")
+    rank = F.struct(*[F.col(c) for c in order], F.col(left).alias("__l"), F.col(right).alias("__r"))
+    open_ = cut(pairs.select(F.col(left).alias("l"), F.col(right).alias("r"), rank.alias("o"), n(left_n).alias("p"), n(right_n).alias("q")).where("p > 0 and q > 0"))
+    taken = None
+    while True:
+        first = open_.withColumns({"f": F.min("o").over(W.partitionBy("l")), "g": F.min("o").over(W.partitionBy("r"))})
+        now = cut(first.where("o = f and o = g").select("l", "r", F.least("p", "q").alias("n")))
+        taken = now if taken is None else taken.unionByName(now)
+        if now.isEmpty():
+            break
+        by = lambda side, name: now.select(side, F.col("n").alias(name))  # noqa: B023, E731
+        left_over = open_.join(by("l", "u"), "l", "left").join(by("r", "v"), "r", "left").na.fill(0, ["u", "v"])
+        open_ = cut(left_over.select("l", "r", "o", (F.col("p") - F.col("u")).alias("p"), (F.col("q") - F.col("v")).alias("q")).where("p > 0 and q > 0"))
+    return taken.select(F.col("l").alias(left), F.col("r").alias(right), "n")
+
+
 def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, score: str) -> DataFrame:
-    """One-to-one pairs per group: best score first, then smaller left and right; each side once. Groups are bounded by their key."""
-    keys = list(group)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        for i, l, r in rows.sort_values([score, left, right], ascending=[False, True, True])[[left, right]].itertuples():
-            if l not in used_l and r not in used_r:
-                used_l.add(l)
-                used_r.add(r)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(choose, pairs.schema)
+    """One-to-one pairs per group: best score first, then smaller left and right; each side once."""
+    side = lambda c: F.struct(*[F.col(k) for k in group], F.col(c))
+    p = pairs.withColumns({"__a": side(left), "__b": side(right), "__s": -F.col(score)})
+    return p.join(greedy_flow(p, "__a", "__b", ["__s"]).drop("n"), ["__a", "__b"], "left_semi").select(*pairs.columns)
