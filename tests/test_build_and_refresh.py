@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import cohortfn, idfn, titlefn
-from tidemark.operators import discovery, offer_build, ranks, refresh, site
+from tidemark.operators import discovery, nightly, offer_build, ranks, refresh, site
+from tidemark.plans import build_queries
 
 DAY = dt.date(2024, 6, 15)
 
@@ -124,10 +125,10 @@ def test_build_keeps_ids_and_failed_providers(spark):
     providers = spark.createDataFrame([("p", None), ("q", "check failed")], "provider string, reason string")
     venues = spark.createDataFrame([("p", "v"), ("q", "v")], "provider string, venue string")
     new = spark.createDataFrame([e("Kurs A", "regular", 17, 1), e("Kurs C", "regular", 18, 2)], EVENT)
-    out = offer_build.build(new, old, old.select("id", "listed_at").where("1 = 0"), providers, venues, F.lit(DAY), F.lit(DAY) + F.expr("INTERVAL 1 MONTH"), lit(14), lit(15)).collect()
+    out = nightly.build(new, old, spark.createDataFrame([], build_queries.MEMORY), providers, venues, F.lit(DAY), F.lit(DAY) + F.expr("INTERVAL 1 MONTH"), lit(14), lit(15)).collect()
     got = {r["title"]: (r["id"], r["listed_at"]) for r in out}
     assert got["Kurs A"] == ("id1", at(1)) and got["Kurs B"] == ("id2", at(2)) and got["Kurs C"][1] == at(15) and got["Kurs C"][0] not in ("id1", "id2")
-    assert [r["provider"] for r in out] == ["p", "p", "q"]
+    assert sorted((r["provider"], r["stage"]) for r in out) == [("p", "key"), ("p", "new"), ("q", "carried")]
 
 
 def test_advance_new_and_removed(spark):

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import cohortfn, idfn, textfn, timefn, titlefn
+from ..functions import cohortfn, textfn, timefn, titlefn
 from ..functions.exprfn import let
-from . import linkage, sessions
+from . import sessions
 from .lineage import cut
 
 MINUTES, MOST_MONTHS = 60, 36  # length of a session without an end, and the age up to which offers count
@@ -63,17 +63,18 @@ def _union(versions: Column) -> Column:
 def merge_keys(offers: DataFrame, key: str, same: list[str]) -> DataFrame:
     """One row per ``key`` of drafts (rank, ord, kind, title, topics, sessions, ...): the version of the best rank, the first of these.
 
-    Versions of the same rank add their sessions; all add their topics. ``conflict`` says that a regular offer has versions of
+    Versions of the same rank add their sessions; all add their topics; a column ``keep``, an id kept for the version, stays if they agree on it. ``conflict`` says that a regular offer has versions of
     one rank that differ in title or in one of the columns ``same``. The versions of one key are few.
     """
     best = F.struct("rank", "ord")
-    other = [c for c in offers.columns if c not in (key, "rank", "ord", "topics", "sessions")]
+    other = [c for c in offers.columns if c not in (key, "rank", "ord", "topics", "sessions", "keep")]
+    kept = [merge_kept(F.collect_list("keep")).alias("keep")] if "keep" in offers.columns else []
     version = F.struct("rank", "ord", "sessions", "topics", F.struct("title", *same).alias("shape"))
-    g = offers.groupBy(key).agg(F.min_by(F.struct(*other), best).alias("__o"), F.min(best).alias("__b"), F.array_sort(F.collect_list(version)).alias("__v"))
+    g = offers.groupBy(key).agg(F.min_by(F.struct(*other), best).alias("__o"), F.min(best).alias("__b"), F.array_sort(F.collect_list(version)).alias("__v"), *kept)
     equals = F.filter("__v", lambda v: v["rank"] == F.col("__b.rank"))
     topics = F.array_distinct(F.flatten(F.transform("__v", lambda v: v["topics"])))
     shapes = F.size(F.array_distinct(F.transform(equals, lambda v: v["shape"])))
-    return g.select(key, "__b.rank", "__b.ord", "__o.*", topics.alias("topics"), _union(equals).alias("sessions"), ((F.col("__o.kind") == sessions.REGULAR) & (shapes > 1)).alias("conflict"))
+    return g.select(key, "__b.rank", "__b.ord", "__o.*", topics.alias("topics"), _union(equals).alias("sessions"), *(["keep"] if kept else []), ((F.col("__o.kind") == sessions.REGULAR) & (shapes > 1)).alias("conflict"))
 
 
 def drop_outranked(offers: DataFrame, key: str = "id") -> DataFrame:
@@ -192,29 +193,6 @@ def id_changes(before: DataFrame, after: DataFrame, resting: DataFrame | None =
     return after.join(old, "id").where("provider != was").select("id", "was", "provider")
 
 
-def build(events: DataFrame, previous: DataFrame, resting: DataFrame, providers: DataFrame, venues: DataFrame, first: Column, last: Column, cutoff: Column, generated: Column) -> DataFrame:
-    """The offers of a night (id, provider, venue, title, kind, low, high, topics, sessions, rank, listed_at), sorted.
-
-    ``events`` as for ``drafts`` with rank, ord and topics; ``previous`` the offers before (with id and listed_at), ``resting`` the memory
-    (id, listed_at); ``providers`` (provider, reason) says whose old offers stay. Drafts of one key are merged, outranked and
-    repeated ones go; ids pass by equal keys, the others get new ones; the day of listing passes with the id.
-    """
-    d = drafts(events, first, last)
-    d = d.withColumn("key", idfn.window_key(F.col("provider"), F.col("venue"), F.col("title"), F.col("kind"), F.col("sessions"), first))
-    d = cut(merge_keys(d, "key", ["low", "high"]).drop("conflict"))
-    d = drop_twins(drop_outranked(d, "key"), first, "key")
-    p = previous.withColumn("key", idfn.window_key(F.col("provider"), F.col("venue"), F.col("title"), F.col("kind"), F.col("sessions"), first))
-    one = p.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    linked = cut(d.join(one, "key", "left"))
-    used = previous.select("id").unionByName(resting.select("id")).distinct()
-    fresh = linkage.assigned_ids(linked.where("id is null").select("key"), "key", used).select("key", F.col("id").alias("__new"))
-    d = linked.join(fresh, "key", "left").withColumn("id", F.coalesce("id", "__new")).drop("__new")
-    d = linkage.carry_forward(d.drop("listed_at"), previous, resting, "id", "listed_at", generated)
-    columns = ["id", "provider", "venue", "title", "kind", "low", "high", "topics", "sessions", "listed_at"]
-    old = carried(previous, d, providers, venues, first, cutoff)
-    return d.select(*columns).unionByName(old.select(*columns)).orderBy("provider", "title", F.col("sessions")[0]["start"], "id")
-
-
 def merge_parts(parts: DataFrame) -> DataFrame:
     """Events of several pages of a provider as one list: ``parts`` (provider, part, ord, key, shape, title, regular, starts) without those
     that an earlier part has: of an equal ``key``, or of an equal ``shape`` (place, kind, age, first session, weekdays) with a

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cohortfn, idfn, titlefn
-from ..operators import offer_build, refresh, sessions
+from ..operators import identity, nightly, offer_build, refresh, sessions
 from . import bindings as B
 from .queries import query, text, with_roles
 
@@ -178,6 +178,9 @@ def id_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offer_build.id_changes(o.where(k % 4 == 0).select(k.alias("id"), c.alias("provider")), after, resting)
 
 
+MEMORY = "id string, key string, provider string, venue string, title string, kind string, low int, high int, listed_at timestamp_ntz, since timestamp_ntz, horizon_to date, starts array<timestamp_ntz>"
+
+
 @query()
 def built_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build over orders as events: a part of the customers failed and keeps its old offers."""
@@ -189,8 +192,41 @@ def built_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     providers = e.select("provider", F.when(F.col("provider").cast("long") % 4 == 0, "check failed").alias("reason")).distinct()
     venues = providers.select("provider", F.lit("v1").alias("venue"))
     t = lambda x: F.lit(x).cast("timestamp_ntz")
-    out = offer_build.build(e.where(F.col("provider").cast("long") % 4 != 0), old, old.select("id", "listed_at").where("1 = 0"), providers, venues, first, last, t("1998-06-14 03:00:00"), t("1998-06-15 03:00:00"))
-    return out.select("id", "provider", "title", "kind", F.size("sessions").alias("n"), text(F.col("listed_at")).alias("listed"))
+    none = spark.createDataFrame([], MEMORY)
+    out = nightly.build(e.where(F.col("provider").cast("long") % 4 != 0), old, none, providers, venues, first, last, t("1998-06-14 03:00:00"), t("1998-06-15 03:00:00"))
+    return out.select("id", "provider", "title", "kind", F.size("sessions").alias("n"), text(F.col("listed_at")).alias("listed"), "stage")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'key' WHEN 1 THEN 'starts' WHEN 2 THEN 'title' WHEN 3 THEN 'moved' WHEN 5 THEN 'resting key' WHEN 6 THEN 'resting starts' WHEN 7 THEN 'resting title' ELSE 'new' END AS stage, o_orderkey % 9 NOT IN (4, 8) AS same_id FROM orders""")
+def id_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as offers of a provider each, a part of them resting; what has changed since the night before goes by the key."""
+    day, k = lambda t: F.lit(t).cast("date"), F.col("k")
+    start = lambda hour: F.expr(f"timestamp_ntz'1998-06-15 {hour}:00:00' + make_interval(0, 0, 0, CAST(o_orderkey % 5 AS INT))")
+    series = lambda hour: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.struct((start(hour) + F.make_interval(weeks=n)).alias("start"), (start(hour) + F.make_interval(weeks=n, hours=F.lit(1))).alias("end")))
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("provider"), (F.col("o_orderkey") % 9).alias("k"))
+    later, course = k.isin(2, 7), F.when(k.isin(2, 7), "course").otherwise("regular")
+    none = [F.lit(None).cast("int").alias(c) for c in ("low", "high")]
+    old = o.select("k", F.concat(F.lit("o"), "provider").alias("id"), "provider", F.lit("v").alias("venue"), F.lit("Krabbelkäfer").alias("title"), course.alias("kind"), *none, series(10).alias("sessions"))
+    title = F.when(k.isin(1, 4, 8), "Zwergenrunde").when(k.isin(6, 7), "Krabbelkäfer neu").otherwise("Krabbelkäfer")
+    new = o.select(F.col("provider").alias("draft"), "provider", F.when(k.isin(3, 4), "w").otherwise("v").alias("venue"), title.alias("title"), course.alias("kind"), *none, F.when(later, series(11)).when(k.isin(4, 8), series(15)).otherwise(series(10)).alias("sessions"), F.lit(None).cast("string").alias("keep"))
+    rest = old.where("k between 5 and 8").withColumns({"key": F.concat(F.lit("k"), "id"), "since": F.lit("1998-06-01 03:00:00").cast("timestamp_ntz"), "horizon_to": day("1998-09-30"), "starts": F.col("sessions.start")})
+    venues = spark.range(2).select(F.element_at(F.array(F.lit("v"), F.lit("w")), (F.col("id") + 1).cast("int")).alias("venue"))
+    out = identity.assign(new, old.where("k < 5"), rest, venues, day("1998-06-15"), day("1998-12-31"))
+    return out.select(F.col("draft").cast("long").alias("o_orderkey"), "stage", (F.col("id") == F.concat(F.lit("o"), "draft")).alias("same_id"))
+
+
+@query("""WITH g AS (SELECT s_nationkey AS provider, min(s_suppkey) AS first FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1),
+    l AS (SELECT o_custkey % 25 AS provider, o_orderkey AS id, s_suppkey AS origin, s_suppkey % 3 = 0 AS own FROM orders JOIN supplier ON s_suppkey = 1 + o_orderkey % (SELECT count(*) FROM supplier) AND s_nationkey = o_custkey % 25 WHERE o_orderkey % 7 = 1 AND o_orderdate >= TIMESTAMP '1996-01-01')
+    SELECT provider, CASE WHEN own THEN origin ELSE first END AS unit, CAST(count(*) AS BIGINT) AS lost, min(id) AS first_id, bool_or(NOT own) AS crosses FROM l JOIN g USING (provider) GROUP BY 1, 2""")
+def lost_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as offers of 25 providers, suppliers as pages; of every seventh offer the new versions make another one."""
+    o, s = B.table(spark, sf_dir, "orders"), B.table(spark, sf_dir, "supplier")
+    d = F.col("o_orderdate").cast("timestamp_ntz")
+    shown = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("provider"), F.array(F.struct(d.alias("start"), d.alias("end"))).alias("sessions"))
+    pages = s.select(F.col("s_suppkey").alias("unit"), F.col("s_nationkey").alias("provider"))
+    at = shown.withColumn("unit", F.lit(1) + F.col("id") % F.lit(s.count())).join(pages, ["unit", "provider"]).select("id", "unit")
+    losses = nightly.unit_losses(shown, shown.where("id % 7 != 1"), at, pages.where("unit % 3 = 0"), F.lit("1996-01-01").cast("date"))
+    return losses.select("provider", "unit", F.size("lost").cast("long").alias("lost"), F.col("lost")[0].alias("first_id"), "crosses")
 
 
 # --- the refresh state
