@@ -1,4 +1,4 @@
-"""The streaming operators over the events table, replayed once to its end, each with the SQL of what comes out."""
+"""The streaming operators over the events table, replayed to its end in one batch or in many, each with the SQL of what comes out."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
 from ..streaming import streams
+from ..streaming.replay import batches, collected, write_batches
 from . import bindings as B
 from .queries import query, text
 
@@ -20,9 +21,7 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collected(stream: DataFrame) -> DataFrame:
     """What a stream gives until its source is read to the end, as a table in the shared folder."""
-    spark, out, state = stream.sparkSession, new_path(stream.sparkSession), new_path(stream.sparkSession)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return collected(stream, new_path(stream.sparkSession), new_path(stream.sparkSession))
 
 
 def _utc(instant: Column) -> Column:
@@ -36,15 +35,30 @@ def rate_limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(text(_utc(F.col("hour"))).alias("hour"), "user_id", "n", F.col("over").cast("long").alias("over"))
 
 
+def _by_days(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """The events as a stream of batches of so many days each."""
+    rows = B.table(spark, sf_dir, "events")
+    instant = F.to_timestamp_ltz(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    slot = F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / days)
+    path = new_path(spark)
+    rows = rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    write_batches(rows.withColumn("ts", instant), slot, path)
+    return batches(spark, path, rows.withColumn("ts", instant).schema)
+
+
 @query("""SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events""")
 def once_per_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users and days of which an event came through; which event depends on the order in which they come."""
-    rows = _replayed(spark, sf_dir).withColumn("day", F.date_format(_utc(F.col("ts")), "yyyy-MM-dd"))
-    out = _collected(rows.withWatermark("ts", "3 days").dropDuplicatesWithinWatermark(["user_id", "day"]))
+    """Users and days of which an event came through, in batches of a week; which event depends on the order in which they come."""
+    out = _collected(streams.once_per_day(_by_days(spark, sf_dir, 7), "user_id", "ts", day=F.col("day")))
     return out.select("user_id", "day")
 
 
-@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS n, true AS is_new FROM events GROUP BY 1""")
+_REST_HOURS = 36
+
+
+@query(f"""WITH b AS (SELECT user_id, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 3 AS slot, count(*) AS n, date_trunc('millisecond', min(ts)) AS lo, date_trunc('millisecond', max(ts)) AS hi FROM events GROUP BY 1, 2),
+    p AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)
+    SELECT user_id, CAST(n AS BIGINT) AS n, before IS NULL OR lo - before >= INTERVAL {_REST_HOURS} HOUR AS is_new FROM p""")
 def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events come in one batch, so every user is new and seen as often as they have events."""
-    return _collected(streams.first_seen(_replayed(spark, sf_dir).select("user_id", "ts"), "user_id", "ts", 86_400_000))
+    """Users in batches of three days: new at first and after a day and a half without an event."""
+    return _collected(streams.first_seen(_by_days(spark, sf_dir, 3).select("user_id", "ts"), "user_id", "ts", _REST_HOURS * 3_600_000))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,30 +17,38 @@ def rate_limited(events: DataFrame, key: str, ts: str, limit: int = 10, late: st
     return hours.select(F.col("window.start").alias("hour"), key, "n", F.greatest(F.lit(0), F.col("n") - limit).alias("over"))
 
 
-def once_per_day(events: DataFrame, key: str, ts: str, late: str = "3 days") -> DataFrame:
-    """The first event per key and day; the mark is forgotten after ``late``."""
-    return events.withWatermark(ts, late).withColumn("day", F.to_date(ts)).dropDuplicatesWithinWatermark([key, "day"])
+def once_per_day(events: DataFrame, key: str, ts: str, late: str = "3 days", day: Column | None = None) -> DataFrame:
+    """The first event per key and ``day`` (of the session's zone where none is given); the mark is forgotten after ``late``."""
+    dated = events.withWatermark(ts, late).withColumn("day", F.to_date(ts) if day is None else day)
+    return dated.dropDuplicatesWithinWatermark([key, "day"])
 
 
 def first_seen(events: DataFrame, key: str, ts: str, rest_ms: int, late: str = "1 hour") -> DataFrame:
-    """(key, n, is_new) per micro-batch: a key is new until it was seen, and again once event time has passed its last event by ``rest_ms``."""
+    """(key, n, is_new) per micro-batch that has the key n times: a key is new until it was seen, and again when ``rest_ms`` have passed between its last
+    event and the first one of a batch.
+
+    The state of a resting key goes when the watermark says that no event can come in time any more; whether it has gone
+    already makes no difference to the result.
+    """
 
     def advance(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, last = 0, state.get[1] if state.exists else 0
+        n, first, last = 0, None, 0
         for b in batches:
-            n += len(b)
-            last = max(last, int(b[ts].max().timestamp() * 1000))
-        new = not state.exists
-        state.update(((state.get[0] if state.exists else 0) + n, last))
+            n, last = n + len(b), max(last, int(b["__ms"].max()))
+            first = int(b["__ms"].min()) if first is None else min(first, int(b["__ms"].min()))
+        seen = state.get[0] if state.exists else None
+        last = last if seen is None else max(last, seen)
+        state.update((last,))
         state.setTimeoutTimestamp(max(last + rest_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "is_new": [new]})
+        yield pd.DataFrame({key: [k[0]], "n": [n], "is_new": [seen is None or first - seen >= rest_ms]})
 
     kind = dict(events.dtypes)[key]
-    keyed = events.withWatermark(ts, late).groupBy(key)
-    return keyed.applyInPandasWithState(advance, f"{key} {kind}, n long, is_new boolean", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    # Instants go to Python as milliseconds, which no session's zone moves.
+    keyed = events.withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias("__ms")).groupBy(key)
+    return keyed.applyInPandasWithState(advance, f"{key} {kind}, n long, is_new boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def diffed(path: str, key: str):
