@@ -100,10 +100,11 @@ def rare_singles(side: tuple[np.ndarray, ...], own: np.ndarray, other: np.ndarra
 def tile(groups: pa.Table, counts: pa.Table) -> pa.Table:
     """Of one chunk of terms and two blocks of a language's groups: (g, h, value) of every pair with g < h.
 
-    Heavy terms fill dense tiles. Of rare terms the sum is that of absent ones, corrected by single counts and by pairs of counts.
+    The first chunk adds what all kept terms would make if none of the groups had them. Heavy terms that one of the blocks has fill dense tiles, which
+    correct it; of rare terms single counts and pairs of counts do.
     """
     same = groups["i"][0].as_py() == groups["j"][0].as_py()
-    first, rare = groups["chunk"][0].as_py() == 0, groups["rare"][0].as_py()
+    first, kept = groups["chunk"][0].as_py() == 0, groups["kept"][0].as_py()
     sides, base = [], []
     for side in (0,) if same else (0, 1):
         own = groups.filter(pa.array(np.asarray(groups["side"]) == side)).sort_by("place")
@@ -118,7 +119,7 @@ def tile(groups: pa.Table, counts: pa.Table) -> pa.Table:
     out = np.zeros((len(at_i), len(at_j)), dtype=np.int64)
     light = [tuple(x[~s[3]] for x in s[:3]) for s in sides]
     if first:
-        out += rare * divergence(b_i[:, None], b_j[None, :])
+        out += kept * divergence(b_i[:, None], b_j[None, :])
     singles = rare_singles(light[0], b_i, b_j)
     out += singles + (singles.T if same else rare_singles(light[1], b_j, b_i).T)
     rare_pairs(light[0], light[1], same, (b_i, b_j), out)
@@ -130,7 +131,7 @@ def tile(groups: pa.Table, counts: pa.Table) -> pa.Table:
         m[np.searchsorted(tids, tid), place] = p
         dense.append(m)
     for g in range(len(at_i)):
-        out[g] += divergence(dense[0][:, g][:, None], dense[1]).sum(axis=0)
+        out[g] += divergence(dense[0][:, g][:, None], dense[1]).sum(axis=0) - len(tids) * divergence(b_i[g], b_j)
     g, h = np.nonzero(at_i[:, None] < at_j[None, :])
     return pa.table([pa.array([groups["lang"][0].as_py()] * len(g), pa.string()), pa.array(at_i[g]), pa.array(at_j[h]), pa.array(out[g, h])], names=["lang", "g", "h", "value"])
 
@@ -167,8 +168,8 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang: str = "lan
     alone = counts.where("term is null").select("lang", "source")
     width = alone.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"))
     heavy = F.col("holders") * HEAVY >= F.col("groups")
-    of_lang = kept.join(F.broadcast(width) if width.count() <= 10_000 else width, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"), F.sum((~heavy).cast("long")).alias("rare"), F.sum("holders").alias("counts"))
-    none = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "lang_total", "rare", "counts", "own_total")}
+    of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"), F.sum("holders").alias("counts"))
+    none = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "lang_total", "counts", "own_total")}
     groups = alone.join(held.groupBy("lang", "source").agg(F.sum("n").alias("own_total")), ["lang", "source"], "left").join(width, "lang").join(of_lang, "lang", "left")
     groups = groups.select("lang", "source", "groups", *none.values(), (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("place"))
     base = F.when(F.col("kept") > 0, _share(F.lit(0), F.col("own_total"), F.when(F.col("kept") > 0, F.col("kept")))).otherwise(F.lit(1))
@@ -181,7 +182,7 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang: str = "lan
     spread = F.expr("transform(sequence(0, blocks - 1), b -> named_struct('i', least(block, b), 'j', greatest(block, b), 'side', if(block <= b, 0, 1)))")
     keys = ["lang", "chunk", "i", "j"]
     parts = of_group.withColumn("chunk", F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int")).withColumn("at", F.explode(spread)).select("lang", "chunk", "at.*", "tid", "place", "p", "heavy")
-    sides = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("at", F.explode(spread)).select("lang", "chunk", "at.*", "place", "base", "rare")
+    sides = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("at", F.explode(spread)).select("lang", "chunk", "at.*", "place", "base", "kept")
     sums = sides.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(tile, "lang string, g long, h long, value long")
     sums = written(sums.groupBy("lang", "g", "h").agg(F.sum("value").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("h").alias("g"), F.col("g").alias("h"), "value"))

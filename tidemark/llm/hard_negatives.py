@@ -45,7 +45,7 @@ def quantise(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = len(words)
     x = np.pad(x, ((0, 0), (0, parts * PART - x.shape[1]))).reshape(len(x), parts, PART)
     codes, rest = np.zeros((len(x), parts), dtype=np.uint8), np.zeros((len(x), parts), dtype=np.float32)
-    with np.errstate(over="ignore", invalid="ignore"):
+    with np.errstate(all="ignore"):
         for p in range(parts):
             codes[:, p] = nearest(x[:, p], words[p])
             left = np.sqrt(((x[:, p] - words[p][codes[:, p]]) ** 2).sum(axis=1))
@@ -118,13 +118,13 @@ def positives_of(block: Block, anchor: int, q: np.ndarray, label: int, k: int) -
     return block.ids[at][best], scores[best]
 
 
-def negatives_of(block: Block, q: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window of scores the ids and scores of the block's k best rows of other labels in it.
+def negatives_of(block: Block, anchor: int, q: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each window of scores the ids and scores of the block's k best rows of other labels in it, the anchor's id left out.
 
     A row is a candidate if its bounds reach into the window and its upper bound reaches the k-th largest lower bound of rows
     that are in the window for certain; exact products then complete the window.
     """
-    other = np.flatnonzero(block.labels != label)
+    other = np.flatnonzero((block.labels != label) & (block.ids != anchor))
     low, high = block.bounds(q)
     low, high = low[other], high[other]
     masks = []
@@ -228,7 +228,7 @@ def mine(anchors: DataFrame, rows: DataFrame, positives: int = 5, negatives: int
 
     def others(of: Block, row: dict, q: np.ndarray):
         ks = [(w["k"], window(w["score"], low, high)) for w in row["windows"]]
-        for (k, _), (ids, scores) in zip(ks, negatives_of(of, q, row["label"], [w for _, w in ks], negatives), strict=True):
+        for (k, _), (ids, scores) in zip(ks, negatives_of(of, row["anchor_id"], q, row["label"], [w for _, w in ks], negatives), strict=True):
             yield k, ids, scores
 
     first = written(ranked(met(asked, own), ["anchor"], positives).select("anchor", F.col("rank").alias("k"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
