@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 ORDERS, BUCKETS = (1, 2, 3), 1 << 14
 CHUNK = 1 << 20  # code points handled at once
 LETTER = re.compile(r"[^\W\d_]")  # also numerals like a superscript two, which are no letters
-MOST_LANGS = 2000
+MOST_LANGS, MOST_ROWS = 2000, 200_000  # languages, and sampled rows of all of them
+HASHES = 1 << 62
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
@@ -125,20 +126,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % 4) == 2, F.lit(False))
 
 
+def share(texts: int, rows: int) -> int:
+    """Up to which hash of HASHES a language's texts are taken, so that about ``rows`` of its ``texts`` different ones are; 1 at least."""
+    return min(HASHES, max(1, rows * HASHES // max(1, texts)))
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 1000, calibration: float = 0.25) -> Model | None:
     """Learns from ``docs``: document frequencies from all of them, weights from a bounded sample.
 
-    At most about ``rows_per_lang`` different labelled texts per language, by a hash of the text, are used for the weights, so that no
-    repeated id or text fills the sample; the share ``calibration`` of them sets the temperature. None without any labelled row.
+    At most about ``rows_per_lang`` different labelled texts per language (fewer where MOST_ROWS among all languages is less), by a hash of
+    the text, are used for the weights, so that no repeated id or text fills the sample; the share ``calibration`` of them sets the temperature. None without any labelled row.
     More than MOST_LANGS languages are an error, as the weights are held by every task.
     """
     learn = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    per = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    different = F.approx_count_distinct(F.when(F.length("text") > 0, F.xxhash64("text"))).alias("texts")
+    per = {r["lang"]: r["texts"] for r in learn.groupBy("lang").agg(different).limit(MOST_LANGS + 1).collect()}
     if not per:
         return None
     if len(per) > MOST_LANGS:
-        raise ValueError(f"{len(per)} languages")
+        raise ValueError(f"more than {MOST_LANGS} languages")
     langs = tuple(sorted(per))
+    rows_per_lang = max(1, min(rows_per_lang, MOST_ROWS // len(langs)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -157,9 +165,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             df[r["bucket"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    shares = learn.sparkSession.createDataFrame([(name, min(1 << 20, (rows_per_lang << 20) // count)) for name, count in per.items()], "lang string, share long")
+    shares = learn.sparkSession.createDataFrame([(name, share(count, rows_per_lang)) for name, count in per.items()], "lang string, share long")
     hashed = learn.where(F.length("text") > 0).withColumn("h", F.xxhash64("text")).join(F.broadcast(shares), "lang")
-    sample = hashed.where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "one.text", "lang")
+    sample = hashed.where(F.pmod("h", F.lit(HASHES)) < F.col("share")).groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "one.text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,20 +178,24 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
                 yield pa.RecordBatch.from_arrays([ids, labels, pa.array(at, kinds[0]), pa.array([r[i] for r, i in zip(x, at, strict=True)], kinds[1])], names=["id", "lang", "at", "x"])
 
-    taken = sample.mapInArrow(features, "id string, lang string, at array<int>, x array<float>").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
-    labels = np.array([langs.index(v) for v in taken.column("lang").to_pylist()], dtype=np.int64)
-    rows = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(taken.column("at"), taken.column("x"), strict=True)]  # views, no copies
-    if not rows:
+    def fit(sample: pa.Table) -> pa.Table:
+        """The model of the sample, which is of bounded size: weights from most of it, the temperature from the rest."""
+        taken = sample.sort_by([("id", "ascending"), ("lang", "ascending")])
+        labels = np.array([langs.index(v) for v in taken.column("lang").to_pylist()], dtype=np.int64)
+        rows = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(taken.column("at"), taken.column("x"), strict=True)]  # views, no copies
+        tune = np.random.default_rng(1).random(len(rows)) < calibration
+        chosen = [i for i in range(len(rows)) if not tune[i]] or list(range(len(rows)))
+        w, b = fit_ftrl([rows[i] for i in chosen], labels[chosen], len(langs))
+        held = np.flatnonzero(tune)
+        logits = np.array([rows[i][1].astype(np.float64) @ w[rows[i][0]] + b for i in held])
+        return pa.table({"w": [w.astype("<f4").tobytes()], "b": [b.astype("<f4").tobytes()], "t": [float(temperature(logits, labels[held]))]})
+
+    # The sample is fitted in one task, not on the driver, which gets the weights alone.
+    fitted = sample.mapInArrow(features, "id string, lang string, at array<int>, x array<float>").withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit, "w binary, b binary, t double").collect()
+    if not fitted:
         return Model(langs, idf, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs), np.float32), 1.0)
-    tune = np.random.default_rng(1).random(len(rows)) < calibration
-    fit = [i for i in range(len(rows)) if not tune[i]] or list(range(len(rows)))
-    w, b = fit_ftrl([rows[i] for i in fit], labels[fit], len(langs))
-    held = np.flatnonzero(tune)
-    logits = np.array([rows[i][1].astype(np.float64) @ w[rows[i][0]] + b for i in held])
-    model = Model(langs, idf, w.astype(np.float32), b.astype(np.float32), temperature(logits, labels[held]))
-    del rows, taken
-    pa.default_memory_pool().release_unused()
-    return model
+    w, b, t = fitted[0]
+    return Model(langs, idf, np.frombuffer(w, "<f4").reshape(BUCKETS, len(langs)).copy(), np.frombuffer(b, "<f4").copy(), t)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
