@@ -345,9 +345,13 @@ def _free(spark: SparkSession) -> DataFrame:
     return recurrence.holiday_days(spark.createDataFrame([("1996-12-20", "1997-01-05", "winter"), ("1997-01-05", "1997-01-06", "kings"), ("1998-07-30", "1998-09-10", "summer")], "s string, e string, name string").select(F.to_date("s").alias("start"), F.to_date("e").alias("end"), "name"))
 
 
-@query("SELECT strftime(day, '%Y-%m-%d') AS day, name FROM (SELECT CAST(unnest(range(DATE '1996-12-20', DATE '1997-01-06', INTERVAL 1 DAY)) AS DATE) AS day, 'winter' AS name UNION ALL SELECT DATE '1997-01-06', 'kings' UNION ALL SELECT CAST(unnest(range(DATE '1998-07-30', DATE '1998-09-11', INTERVAL 1 DAY)) AS DATE), 'summer')")
+@query("""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS start, CAST(o_custkey % 9 AS INTEGER) AS n, o_orderpriority || ' ' || o_custkey % 7 AS name FROM orders), d AS (SELECT start, name, CAST(unnest(range(CAST(start AS TIMESTAMP), CAST(start + n + 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM r)
+    SELECT strftime(day, '%Y-%m-%d') AS day, name FROM d QUALIFY row_number() OVER (PARTITION BY day ORDER BY start, name) = 1""")
 def holiday_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _free(spark).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "name")
+    """Orders as closures of up to nine days; where they overlap the one that began first names the day."""
+    start = F.to_date("o_orderdate")
+    o = B.table(spark, sf_dir, "orders").select(start.alias("start"), F.date_add(start, (F.col("o_custkey") % 9).cast("int")).alias("end"), F.concat_ws(" ", "o_orderpriority", (F.col("o_custkey") % 7).cast("string")).alias("name"))
+    return recurrence.holiday_days(o).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "name")
 
 
 @query(f"""WITH {_RULES}, d AS (SELECT r.*, CAST(unnest(range(CAST(start AS TIMESTAMP), CAST(until AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
