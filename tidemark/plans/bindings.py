@@ -45,9 +45,11 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with made-up coordinates."""
+    """Suppliers with made-up coordinates: 37 by 53 of them in a field, and more fields as there are more suppliers."""
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.lit(49.0) + (k % 37) / 400.0).alias("lat"), (F.lit(11.0) + (k % 53) / 300.0).alias("lon"))
+    lat = F.lit(49.0) + (k % 37) / 400.0 + (F.floor(k / 1961) % 100) / 10.0
+    lon = F.lit(11.0) + (k % 53) / 300.0 + (F.floor(k / 196100) % 100) / 5.0
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", lat.alias("lat"), lon.alias("lon"))
 
 
 #: The same roles in SQL, to be put before a query.

@@ -228,7 +228,7 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.provider_states(c, offers, "s_suppkey", "s_name")
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_nationkey, 49.0 + (s_suppkey % 37) / 400.0 AS lat, 11.0 + (s_suppkey % 53) / 300.0 AS lon FROM supplier)
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey, 49.0 + (s_suppkey % 37) / 400.0 + (s_suppkey // 1961 % 100) / 10.0 AS lat, 11.0 + (s_suppkey % 53) / 300.0 + (s_suppkey // 196100 % 100) / 5.0 AS lon FROM supplier)
     SELECT round(CAST(lat AS DOUBLE), 3) AS lat, round(CAST(lon AS DOUBLE), 3) AS lon, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT s_nationkey) AS BIGINT) AS nations, min(s_suppkey) AS first FROM s GROUP BY 1, 2""")
 def places_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.places(B.suppliers_at(spark, sf_dir), "s_nationkey", "s_suppkey").withColumnRenamed("owners", "nations")
@@ -264,7 +264,7 @@ def provider_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.worst_state(units, ["user_id"], F.col("state"))
 
 
-@query("SELECT min(49.0 + (s_suppkey % 37) / 400.0) AS south, min(11.0 + (s_suppkey % 53) / 300.0) AS west, max(49.0 + (s_suppkey % 37) / 400.0) AS north, max(11.0 + (s_suppkey % 53) / 300.0) AS east, CAST(count(*) AS BIGINT) AS n FROM supplier")
+@query("SELECT min(49.0 + (s_suppkey % 37) / 400.0 + (s_suppkey // 1961 % 100) / 10.0) AS south, min(11.0 + (s_suppkey % 53) / 300.0 + (s_suppkey // 196100 % 100) / 5.0) AS west, max(49.0 + (s_suppkey % 37) / 400.0 + (s_suppkey // 1961 % 100) / 10.0) AS north, max(11.0 + (s_suppkey % 53) / 300.0 + (s_suppkey // 196100 % 100) / 5.0) AS east, CAST(count(*) AS BIGINT) AS n FROM supplier")
 def bbox_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.bounding_box(B.suppliers_at(spark, sf_dir))
 
@@ -426,7 +426,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- places
 
-_AT = "(SELECT s_suppkey, s_nationkey, CAST(49.0 + (s_suppkey % 37) / 400.0 AS DOUBLE) AS lat, CAST(11.0 + (s_suppkey % 53) / 300.0 AS DOUBLE) AS lon FROM supplier)"
+_AT = "(SELECT s_suppkey, s_nationkey, CAST(49.0 + (s_suppkey % 37) / 400.0 + (s_suppkey // 1961 % 100) / 10.0 AS DOUBLE) AS lat, CAST(11.0 + (s_suppkey % 53) / 300.0 + (s_suppkey // 196100 % 100) / 5.0 AS DOUBLE) AS lon FROM supplier)"
 _HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
