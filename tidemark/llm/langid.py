@@ -73,6 +73,7 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
     temperature: float
+    rows: int = 0  # texts that the weights were learnt from
 
     def scores(self, c: np.ndarray) -> np.ndarray:
         z = (_weighted(c, self.idf) @ self.weights + self.bias) / self.temperature
@@ -188,14 +189,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         w, b = fit_ftrl([rows[i] for i in chosen], labels[chosen], len(langs))
         held = np.flatnonzero(tune)
         logits = np.array([rows[i][1].astype(np.float64) @ w[rows[i][0]] + b for i in held])
-        return pa.table({"w": [w.astype("<f4").tobytes()], "b": [b.astype("<f4").tobytes()], "t": [float(temperature(logits, labels[held]))]})
+        return pa.table({"w": [w.astype("<f4").tobytes()], "b": [b.astype("<f4").tobytes()], "t": [float(temperature(logits, labels[held]))], "rows": [len(chosen)]})
 
     # The sample is fitted in one task, not on the driver, which gets the weights alone.
-    fitted = sample.mapInArrow(features, "id string, lang string, at array<int>, x array<float>").withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit, "w binary, b binary, t double").collect()
+    fitted = sample.mapInArrow(features, "id string, lang string, at array<int>, x array<float>").withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit, "w binary, b binary, t double, rows long").collect()
     if not fitted:
         return Model(langs, idf, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs), np.float32), 1.0)
-    w, b, t = fitted[0]
-    return Model(langs, idf, np.frombuffer(w, "<f4").reshape(BUCKETS, len(langs)).copy(), np.frombuffer(b, "<f4").copy(), t)
+    w, b, t, n = fitted[0]
+    return Model(langs, idf, np.frombuffer(w, "<f4").reshape(BUCKETS, len(langs)).copy(), np.frombuffer(b, "<f4").copy(), t, n)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
