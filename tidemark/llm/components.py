@@ -45,7 +45,7 @@ def _shape(edges: DataFrame) -> tuple[int, int, bool]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every end of an edge (u, v: long) the smallest id that it is connected with.
 
-    Each round is written to the shared folder; the rounds grow with the logarithm of a component's width. Loops (u = v) and
+    Each half of a round is written to the shared folder; the rounds grow with the logarithm of a component's width. Loops (u = v) and
     repeated edges make no difference; without edges there are no rows.
     """
     now = written(edges.select("u", "v").where("u != v").distinct())
@@ -54,8 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not done:
         bar = max(64, 2 * rows // HEAVY)
         bar = bar if most >= bar else None
-        last, now = now, written(_small_star(_large_star(now, bar), bar).where("u != v").distinct())
-        drop(last)
+        # Either star is written, so that no plan holds both: small plans keep the driver small.
+        large = written(_large_star(now, bar).where("u != v").distinct())
+        drop(now)
+        now = written(_small_star(large, bar).where("u != v").distinct())
+        drop(large)
         rows, most, done = _shape(now)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()
