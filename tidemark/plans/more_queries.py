@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textfn, urlfn
-from ..operators import matching, measures, sessions, timetable
+from ..operators import matching, measures, sessions, splitting, timetable
 from . import bindings as B
 from .queries import query, text, with_roles
 
@@ -149,3 +149,32 @@ def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     new = F.when(F.col("lang") == "en", t).when(F.col("lang") == "de", "").when(F.col("lang") == "fr", F.substring_index(t, "\n", 1)).otherwise(F.concat(t, t))
     return B.table(spark, sf_dir, "documents").select("doc_id", matching.text_change(t, new).alias("change"))
+
+
+def _greedy(pieces: str, most: str) -> str:
+    """SQL: neighbours of a list of texts put together while they stay within ``most`` characters."""
+    step = f"lambda kept, item: CASE WHEN length(kept.part) + 1 + length(item.part) <= {most} THEN {{'done': kept.done, 'part': kept.part || chr(10) || item.part}} ELSE {{'done': list_append(kept.done, kept.part), 'part': item.part}} END"
+    return f"list_reduce(list_transform({pieces}, lambda x: {{'done': CAST([] AS VARCHAR[]), 'part': x}}), {step})"
+
+
+def _all(packed: str) -> str:
+    return f"list_append({packed}.done, {packed}.part)"
+
+
+@query(f"""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    l AS (SELECT o_custkey, list(CASE WHEN i = 1 THEN '## TEXT' || chr(10) ELSE '' END || concat_ws(chr(10), 'Order ' || o_orderkey, 'Status ' || o_orderstatus, 'Day:', strftime(o_orderdate, '%Y-%m-%d'), 'Print') ORDER BY i) AS a,
+        list_append(list(CASE WHEN i = 1 THEN '[' || chr(10) ELSE '' END || concat_ws(chr(10), '{{', '"order": ' || o_orderkey || ',', '"note": "}} ["', CASE WHEN i < n THEN '}},' ELSE '}}' END) ORDER BY i), ']') AS b FROM o GROUP BY 1),
+    f AS (SELECT o_custkey, {_greedy("a", "300")} AS ra, {_greedy("b", "292")} AS rb FROM l),
+    g AS (SELECT o_custkey, {_all("ra")} AS pa, {_all("rb")} AS pb FROM f), h AS (SELECT o_custkey, list_concat(pa, ['## DATA' || chr(10) || pb[1]], pb[2:]) AS p FROM g),
+    r AS (SELECT o_custkey, {_greedy("p", "300")} AS r FROM h), u AS (SELECT o_custkey, {_all("r")} AS p FROM r), v AS (SELECT o_custkey, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM u)
+    SELECT o_custkey, CAST(i - 1 AS INTEGER) AS part, length(t) AS n_chars, sha256(t) AS digest, CAST(0 AS BIGINT) AS line_cuts FROM v""")
+def structured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a page of two sections, a list with a closing line and JSON: both are cut between orders only."""
+    o = B.table(spark, sf_dir, "orders")
+    row = F.struct("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    per = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    entry = lambda r: F.concat_ws("\n", F.concat(F.lit("Order "), r["o_orderkey"]), F.concat(F.lit("Status "), r["o_orderstatus"]), F.lit("Day:"), r["day"], F.lit("Print"))
+    item = lambda r: F.concat(F.lit('{\n"order": '), r["o_orderkey"], F.lit(',\n"note": "} ["\n}'))
+    listing, data = F.array_join(F.transform("rows", entry), "\n"), F.array_join(F.transform("rows", item), ",\n")
+    texts = per.select("o_custkey", F.concat(F.lit("## TEXT\n"), listing, F.lit("\n## DATA\n[\n"), data, F.lit("\n]")).alias("t"))
+    return splitting.split_structured(texts, "o_custkey", "t", 300).select("o_custkey", "part", "n_chars", F.sha2("part_text", 256).alias("digest"), "line_cuts")
