@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textfn, urlfn
-from ..operators import matching, measures, sessions, splitting, timetable
+from ..operators import calendar_rules, matching, measures, sessions, splitting, timetable
 from . import bindings as B
 from .queries import query, text, with_roles
 
@@ -178,3 +178,26 @@ def structured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing, data = F.array_join(F.transform("rows", entry), "\n"), F.array_join(F.transform("rows", item), ",\n")
     texts = per.select("o_custkey", F.concat(F.lit("## TEXT\n"), listing, F.lit("\n## DATA\n[\n"), data, F.lit("\n]")).alias("t"))
     return splitting.split_structured(texts, "o_custkey", "t", 300).select("o_custkey", "part", "n_chars", F.sha2("part_text", 256).alias("digest"), "line_cuts")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d0 FROM orders), d AS (SELECT k, d0, CAST(d0 + CAST(unnest(range(0, 100)) AS INTEGER) AS DATE) AS d FROM o),
+    r AS (SELECT k, d0, d, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM d WHERE CASE k % 4 WHEN 0 THEN d = d0
+        WHEN 1 THEN isodow(d) IN (1, 4) AND date_diff('day', date_trunc('week', d0), d) // 7 % 2 = 0
+        WHEN 2 THEN isodow(d) = 2 AND (day(d) BETWEEN 8 AND 14 OR day(last_day(d)) - day(d) < 7) AND d <= d0 + 70
+        ELSE (d - d0) % 3 = 0 END)
+    SELECT k AS o_orderkey, strftime(d, '%Y-%m-%d') || CASE k % 4 WHEN 0 THEN ' 00:00' ELSE ' 18:30' END AS start, CASE k % 4 WHEN 0 THEN strftime(d + 2, '%Y-%m-%d') || ' 00:00' ELSE strftime(d, '%Y-%m-%d') || ' 20:00' END AS "end" FROM r
+    WHERE (k % 4 <> 1 OR i <= 6) AND (k % 4 <> 3 OR (i <= 5 AND d <> d0 + 3)) AND d BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""")
+def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a calendar with one event: whole days, a fortnight's days with a count, days of a month with an end, or every third day without one."""
+    key, day = F.col("o_orderkey"), lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyyMMdd")
+    rule = (
+        F.when(key % 4 == 1, "RRULE:FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TH;COUNT=6")
+        .when(key % 4 == 2, F.concat(F.lit("RRULE:FREQ=MONTHLY;BYDAY=2TU,-1TU;UNTIL="), day(70)))
+        .otherwise(F.concat(F.lit("RRULE:FREQ=DAILY;INTERVAL=3;COUNT=5\r\nEXDATE;TZID=Europe/Berlin:"), day(3), F.lit("T183000")))
+    )
+    timed = F.concat(F.lit("DTSTART;TZID=Europe/Berlin:"), day(0), F.lit("T183000\r\nDURATION:PT1H\r\n 30M\r\n"), rule)
+    dated = F.concat(F.lit("DTSTART;VALUE=DATE:"), day(0), F.lit("\r\nDTEND;VALUE=DATE:"), day(2))
+    text = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:"), key, F.lit("\r\n"), F.when(key % 4 == 0, dated).otherwise(timed), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    texts = B.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    rows = calendar_rules.occurrences(calendar_rules.calendar_events(texts, "o_orderkey", "t", "Europe/Berlin"), "o_orderkey", "1995-01-01", "1997-12-31", "Europe/Berlin")
+    return rows.select("o_orderkey", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm").alias("end"))
