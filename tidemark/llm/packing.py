@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .common import gapless, sub_groups, written
 WHITE = "\t-\r \x85\xa0  -     　"
 RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 SPECIAL = "<|endoftext|>"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 LARGE = (0.25, 0.4, 0.5)  # shares of a sequence from which on a piece is large
 GAP = 0.002  # the patterns found are within this share of the best
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -37,14 +38,20 @@ class Encoder:
     def __init__(self, tokenizer: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.exact = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         self.seen: dict[str, bytes] = {}
 
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, loaded by the first run that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer)
+
     def _run(self, run: str) -> bytes:
         ids = self.exact.encode(run, add_special_tokens=False).ids if SPECIAL in run else self.fast.encode_ordinary(run)
         return np.array(ids, dtype="<u4").tobytes()
