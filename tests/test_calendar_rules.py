@@ -90,3 +90,8 @@ def test_random_rules_equal_a_walk_over_the_days(spark):
                 s = datetime(x.year, x.month, x.day, 20)
                 want.append((k, 0, f"{s:%Y-%m-%d %H:%M}", f"{s + timedelta(hours=5):%Y-%m-%d %H:%M}"))
     assert found(spark, *texts) == sorted(want) and len(want) > 5000
+
+
+def test_no_rows(spark):
+    empty = calendar_rules.calendar_events(spark.createDataFrame([], "k int, t string"), "k", "t", ZONE)
+    assert empty.collect() == [] and calendar_rules.occurrences(empty, "k", "2026-01-01", "2026-12-31", ZONE).collect() == []
