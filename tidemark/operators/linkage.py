@@ -128,12 +128,34 @@ def unique_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def link_by_title(old: DataFrame, new: DataFrame, keys: Sequence[str], similar: Column, least: float = 0.5) -> DataFrame:
     """(new_id, old_id): rows (id, keys, title, days: array) of equal keys with ``similar`` titles (over old_title and
-    new_title) that share ``least`` of their days or begin on one day, where neither side has another such partner."""
-    o = old.select("old_id", *keys, F.col("title").alias("old_title"), F.col("days").alias("__o"))
-    n = new.select("new_id", *keys, F.col("title").alias("new_title"), F.col("days").alias("__n"))
-    close = (array_jaccard(F.col("__o"), F.col("__n")) >= least) | (F.array_min("__o") == F.array_min("__n"))
-    pairs = o.join(n, list(keys)).where(close).where(similar).select("new_id", "old_id")
-    return unique_both_ways(pairs, "new_id", "old_id")
+    new_title) that share ``least`` of their days or begin on one day, where neither side has another such partner.
+
+    Rows of equal keys, title and days are one class. Classes meet on a common day and are compared once; how many partners a row has follows
+    from the classes' sizes, so rows never meet.
+    """
+    shape = lambda d, side: d.select(f"{side}_id", F.struct(*keys).alias("__k"), F.struct("title", "days").alias(f"__{side}"))
+    member = F.explode("days") if least > 0 else F.lit(True)  # a share above 0 and a first day in common both need a common day
+
+    def classes(d: DataFrame, side: str) -> DataFrame:
+        known = d.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])) if keys else d
+        counted = shape(known, side).groupBy("__k", f"__{side}").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        return counted.withColumn("days", F.col(f"__{side}.days")).select("__k", f"__{side}", f"n_{side}", member.alias("day"))
+
+    o, n = classes(old, "old"), classes(new, "new")
+    met = o.join(n, (o["__k"] == n["__k"]) & o["day"].eqNullSafe(n["day"])).select(o["__k"], "__old", "__new", "n_old", "n_new").distinct()
+    p, q = F.col("__old.days"), F.col("__new.days")
+    met = met.where((array_jaccard(p, q) >= least) | (F.array_min(p) == F.array_min(q))).withColumns({"old_title": F.col("__old.title"), "new_title": F.col("__new.title")})
+    met = cut(met)
+    alike = met.select("old_title", "new_title").distinct().where(similar).toDF("__t", "__u")
+    found = cut(met.join(alike, F.col("old_title").eqNullSafe(F.col("__t")) & F.col("new_title").eqNullSafe(F.col("__u")), "left_semi").select("__k", "__old", "__new", "n_old", "n_new"))
+
+    def alone(d: DataFrame, side: str, other: str) -> DataFrame:
+        """Ids with one partner in all, with both classes."""
+        per = found.groupBy("__k", f"__{side}").agg(F.sum(f"n_{other}").alias("n"), F.first(f"__{other}").alias(f"__{other}"))
+        rows = shape(d, side).join(per, ["__k", f"__{side}"]).groupBy(f"{side}_id").agg(F.sum("n").alias("n"), F.first(F.struct("__k", "__old", "__new")).alias("pair"))
+        return rows.where("n = 1").select(f"{side}_id", "pair")
+
+    return alone(new, "new", "old").join(alone(old, "old", "new"), "pair").select("new_id", "old_id")
 
 
 def one_unit_per_row(rows: DataFrame, key: Sequence[str], unit: str, failed: Column, fit: Column, order: Column) -> DataFrame:
