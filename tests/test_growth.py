@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import linkage
+from tidemark.operators import blocks, linkage, matching
 
 
 @pytest.fixture
@@ -38,3 +38,27 @@ def test_titles_are_compared_by_classes(spark, counted):
     left, right = [p[0] for p in pairs], [p[1] for p in pairs]
     assert got == {p for p in pairs if left.count(p[0]) == 1 and right.count(p[1]) == 1} and len(got) > 5
     assert seen.value <= 41 * 41  # by rows it would be 10,000 of the last 200 alone
+
+
+def test_near_starts_are_compared_by_classes(spark, counted):
+    same, seen = counted
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30), datetime(2024, 1, 1 + rng.randrange(3)), 49.0 + rng.randrange(3) / 3000, 11.0, f"T{rng.randrange(2)}") for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, provider long, start timestamp_ntz, lat double, lon double, title string")
+    got = [tuple(r) for r in matching.same_start_nearby(d, 50, same(F.col("a.title"), F.col("b.title"))).select("a", "b").collect()]
+    near = lambda a, b: abs(a[3] - b[3]) * 111_195 <= 50
+    assert sorted(got) == sorted((a[0], b[0]) for a in rows for b in rows if a[1] < b[1] and a[2] == b[2] and near(a, b) and a[5] == b[5])
+    assert seen.value <= 3 * 6 * 6  # classes; by rows it would be about 10,000
+
+
+def test_pairs_in_blocks(spark):
+    rng = random.Random(7)
+    rows = [(i, None if i % 50 == 0 else rng.randrange(2), rng.sample(["red", "blue", "ring", "bolt"], rng.randrange(3))) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, g int, w array<string>")
+    within = {(r["l"]["id"], r["r"]["id"], r["r"]["g"]) for r in blocks.pairs_within(d, "g", "id", ["g"], size=40).collect()}
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[1] is not None]
+    assert within == {(a[0], b[0], b[1]) for a, b in pairs}
+    got = sorted(tuple(r) for r in blocks.overlaps(d, "g", "id", "w").collect())
+    assert got == sorted((a[0], b[0], len(set(a[2]) & set(b[2]))) for a, b in pairs if set(a[2]) & set(b[2]))
+    many = blocks.expanded(spark.range(1).select(F.sequence(F.lit(1), F.lit(30)).alias("l"), F.sequence(F.lit(1), F.lit(20)).alias("r")), 600, per_task=100)
+    assert many.rdd.getNumPartitions() == 6 and many.distinct().count() == 600  # tasks go by the pairs, not by the rows
