@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers
+from . import blocks
+from .lineage import cut
 from .ranks import numbered
 
 
@@ -32,13 +34,22 @@ def staged_match(stages: Sequence[tuple[str, DataFrame]], key: str, target: str,
 
 def same_start_nearby(rows: DataFrame, metres: float, same: Column | None = None) -> DataFrame:
     """(a, b, start): rows (id, provider, start, lat, lon) of different providers that start at once and are near; ``same``
-    is a further test over columns of a and b. The start and a band of latitude, or the next one, are an equi-join, so only
-    rows of one instant and about one latitude meet."""
+    is a further test over columns of a and b other than id and provider. The start and a band of latitude, or the next one, are an equi-join, so only
+    rows of one instant and about one latitude meet.
+
+    Rows that differ in id and provider only are one class: the tests are made once per pair of classes, whose members are then paired in blocks.
+    """
     band = F.floor(F.col("lat") / (metres / 111_000))
-    a, b = rows.withColumn("__y", F.explode(F.array(band - 1, band, band + 1))).alias("a"), rows.withColumn("__y", band).alias("b")
+    shape = [c for c in rows.columns if c not in ("id", "provider")]
+    classes = rows.groupBy(*shape).agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", F.struct(*shape))
+    a, b = classes.withColumn("__y", F.explode(F.array(band - 1, band, band + 1))).alias("a"), classes.withColumn("__y", band).alias("b")
     d = numbers.haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.__y") == F.col("b.__y")) & (F.col("a.provider") < F.col("b.provider"))).where(d <= metres)
-    return (pairs if same is None else pairs.where(same)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.start").alias("start"))
+    near = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.__y") == F.col("b.__y"))).where(d <= metres)
+    near = near if same is None else near.where(same)
+    found = cut(near.select(F.col("a.__c").alias("x"), F.col("b.__c").alias("y"), F.col("a.__n").alias("n_left"), F.col("b.__n").alias("n_right"), F.col("a.start").alias("start")))
+    members = blocks.blocks(rows.select(F.struct(*shape).alias("__c"), "id", "provider"), ["__c"], ["id", "provider"])
+    pairs = blocks.class_pairs(members, found, "__c", "x", "y", ["start"])
+    return pairs.where("l.provider < r.provider").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "start")
 
 
 def left_uncovered(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -81,8 +92,6 @@ def care_order(units: DataFrame, key: str, failing: Column, cared: Column) -> Da
 def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): what is reached from ``start`` (node) over edges (frm, dst), with the fewest steps. Each round joins the
     newest nodes only; rounds end when nothing is new, or after ``most`` where it is given."""
-    from .lineage import cut
-
     found = front = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in count(1) if most is None else range(1, most + 1):
         front = cut(front.join(edges, F.col("node") == F.col("frm")).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
