@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, linkage, matching
+from tidemark.operators import blocks, joins, linkage, matching, offer_build
 
 
 @pytest.fixture
@@ -62,3 +62,34 @@ def test_pairs_in_blocks(spark):
     assert got == sorted((a[0], b[0], len(set(a[2]) & set(b[2]))) for a, b in pairs if set(a[2]) & set(b[2]))
     many = blocks.expanded(spark.range(1).select(F.sequence(F.lit(1), F.lit(30)).alias("l"), F.sequence(F.lit(1), F.lit(20)).alias("r")), 600, per_task=100)
     assert many.rdd.getNumPartitions() == 6 and many.distinct().count() == 600  # tasks go by the pairs, not by the rows
+
+
+def test_the_nearest_are_among_the_neighbours(spark):
+    rng = random.Random(9)
+    left = [(i, rng.randrange(4), None if i % 20 == 0 else rng.randrange(30) / 4) for i in range(120)]
+    right = [(100 + i, rng.randrange(3), None if i % 10 == 0 else rng.randrange(30) / 4) for i in range(40)]
+    a, b = spark.createDataFrame(left, "k long, g int, x double"), spark.createDataFrame(right, "t long, g int, y double")
+    found = {}
+    for r in joins.neighbours(a, b, ["g"], "x", "y").collect():
+        found.setdefault(r["k"], []).append((r["t"], abs(r["x"] - r["y"])))
+    for k, g, x in left:
+        all_ = sorted(abs(x - y) for _, h, y in right if h == g and y is not None) if x is not None else []
+        got = found.get(k, [])
+        assert len(got) == len({t for t, _ in got}) <= 4  # four rows at most, however many the right side has
+        assert sorted(d for _, d in got)[:2] == all_[:2]
+
+
+def test_outranked_titles_are_compared_once(spark, counted, monkeypatch):
+    same, seen = counted
+    monkeypatch.setattr(offer_build.textfn, "similar_title", lambda a, b, stop: same(a, b))
+    rng = random.Random(11)
+    rows = [(i, 1, "v", f"T{rng.randrange(3)}", rng.randrange(3), rng.randrange(50), [f"x{i % 7}"], [(datetime(2024, 1, 1 + d), datetime(2024, 1, 2 + d)) for d in rng.sample(range(4), 2)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "id long, provider int, venue string, title string, rank int, ord long, topics array<string>, sessions array<struct<start timestamp_ntz, end timestamp_ntz>>")
+    best = {}
+    for r in rows:
+        over = [(h[4], h[5], h[0]) for h in rows if h[4] < r[4] and h[3] == r[3] and {s[0] for s in h[7]} & {s[0] for s in r[7]}]
+        if over:
+            best[r[0]] = min(over)[2]
+    want = {r[0]: set(r[6]) | {t for o in rows if best.get(o[0]) == r[0] for t in o[6]} for r in rows if r[0] not in best}
+    assert {r["id"]: set(r["topics"]) for r in offer_build.drop_outranked(d).collect()} == want
+    assert seen.value <= 9  # pairs of titles; by rows it would be thousands

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textfn, urlfn
-from ..operators import calendar_rules, matching, measures, sessions, splitting, timetable
+from ..operators import calendar_rules, joins, matching, measures, sessions, splitting, timetable
 from . import bindings as B
 from .queries import query, text, with_roles
 
@@ -61,8 +61,10 @@ def first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, min(r) OVER (PARTITION BY k) AS f FROM x), o AS (SELECT *, lead(s) OVER (PARTITION BY k ORDER BY s DESC, t) AS nxt, row_number() OVER (PARTITION BY k ORDER BY s DESC, t) AS n FROM m WHERE r = f)
     SELECT k, t, stage FROM o WHERE n = 1 AND s >= 0.5 AND (nxt IS NULL OR s - nxt >= 0.1)""")
 def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "supplier")
-    p = c.join(s, c["c_nationkey"] == s["s_nationkey"]).select(F.col("c_custkey").alias("k"), F.col("s_suppkey").alias("t"), (1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 2000).alias("score"))
+    """Stages ask for the best score and the next one only, and the score falls with the distance, so the two suppliers on either side of a balance are enough."""
+    c = B.table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation").select("nation", "c_custkey", "c_acctbal")
+    s = B.table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "nation").select("nation", "s_suppkey", "s_acctbal")
+    p = joins.neighbours(c, s, ["nation"], "c_acctbal", "s_acctbal").select(F.col("c_custkey").alias("k"), F.col("s_suppkey").alias("t"), (1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 2000).alias("score"))
     return matching.staged_match([("nation", p.where("score >= 0.95").withColumn("score", F.lit(1.0))), ("balance", p.where("score > 0"))], "k", "t")
 
 
