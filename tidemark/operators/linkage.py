@@ -146,7 +146,8 @@ def link_by_title(old: DataFrame, new: DataFrame, keys: Sequence[str], similar:
     p, q = F.col("__old.days"), F.col("__new.days")
     met = met.where((array_jaccard(p, q) >= least) | (F.array_min(p) == F.array_min(q))).withColumns({"old_title": F.col("__old.title"), "new_title": F.col("__new.title")})
     met = cut(met)
-    alike = met.select("old_title", "new_title").distinct().where(similar).toDF("__t", "__u")
+    alike = cut(met.select("old_title", "new_title").distinct())  # written, or the test would be moved before the distinct rows
+    alike = alike.where(similar).toDF("__t", "__u")
     found = cut(met.join(alike, F.col("old_title").eqNullSafe(F.col("__t")) & F.col("new_title").eqNullSafe(F.col("__u")), "left_semi").select("__k", "__old", "__new", "n_old", "n_new"))
 
     def alone(d: DataFrame, side: str, other: str) -> DataFrame:

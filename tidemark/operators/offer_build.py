@@ -79,14 +79,19 @@ def merge_keys(offers: DataFrame, key: str, same: list[str]) -> DataFrame:
 
 def drop_outranked(offers: DataFrame, key: str = "id") -> DataFrame:
     """Without offers of which a better ranked one of the same provider and venue has a similar title and a common start; that
-    one, the best, gets their topics."""
+    one, the best, gets their topics. Offers of equal title, rank and start are compared as one, and each pair of titles once."""
+    shape = ["provider", "venue", "start", "rank", "title"]
     starts = offers.select(F.col(key).alias("__k"), "provider", "venue", "rank", "ord", "title", F.explode("sessions.start").alias("start"))
-    low, high = starts.alias("l"), starts.alias("h")
+    classes = starts.groupBy(*shape).agg(F.min(F.struct("ord", "__k")).alias("first"))
+    low, high = classes.alias("l"), classes.alias("h")
     on = [F.col(f"l.{c}") == F.col(f"h.{c}") for c in ("provider", "venue", "start")] + [F.col("h.rank") < F.col("l.rank")]
-    pairs = low.join(high, on).where(textfn.similar_title(F.col("l.title"), F.col("h.title"), titlefn.GENERIC))
-    pairs = pairs.groupBy(F.col("l.__k").alias("low")).agg(F.min_by(F.col("h.__k"), F.struct("h.rank", "h.ord")).alias("high"))
+    met = cut(low.join(high, on).select(*[f"l.{c}" for c in shape], F.col("h.title").alias("__u"), F.struct("h.rank", "h.first").alias("h")))
+    alike = cut(met.select("title", "__u").distinct())  # written, or the test would be moved before the distinct rows
+    alike = alike.where(textfn.similar_title(F.col("title"), F.col("__u"), titlefn.GENERIC))
+    best = met.join(alike, ["title", "__u"]).groupBy(*shape).agg(F.min("h").alias("h"))
+    pairs = starts.join(best, shape).groupBy(F.col("__k").alias("low")).agg(F.min("h").alias("h")).select("low", F.col("h.first.__k").alias("high"))
     pairs = cut(pairs)
-    more = pairs.join(offers.select(F.col(key).alias("low"), "topics"), "low").groupBy("high").agg(F.array_distinct(F.flatten(F.collect_list("topics"))).alias("__t"))
+    more = pairs.join(offers.select(F.col(key).alias("low"), "topics"), "low").groupBy("high").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("__t"))
     left = offers.join(pairs.select(F.col("low").alias(key)), key, "left_anti").join(more.withColumnRenamed("high", key), key, "left")
     return left.withColumn("topics", F.when(F.col("__t").isNull(), F.col("topics")).otherwise(F.array_union("topics", "__t"))).drop("__t").select(*offers.columns)
 
