@@ -93,3 +93,15 @@ def test_outranked_titles_are_compared_once(spark, counted, monkeypatch):
     want = {r[0]: set(r[6]) | {t for o in rows if best.get(o[0]) == r[0] for t in o[6]} for r in rows if r[0] not in best}
     assert {r["id"]: set(r["topics"]) for r in offer_build.drop_outranked(d).collect()} == want
     assert seen.value <= 9  # pairs of titles; by rows it would be thousands
+
+
+def test_single_members_are_not_grouped(spark):
+    rng = random.Random(13)
+    rows = [(i % 60, rng.randrange(2), rng.randrange(6)) for i in range(160)]
+    a, b = spark.createDataFrame(rows[:80], "a long, g int, m int"), spark.createDataFrame(rows[80:], "b long, g int, m int")
+    out = linkage.shared_members(a, b, ["g"], "a", "b", "m")
+    sets = lambda part: {(g, k): {r[2] for r in part if r[0] == k and r[1] == g} for k, g, _ in part}
+    want = {(g, k, j, len(x & y), len(x), len(y), len(x & y) / len(x | y)) for (g, k), x in sets(rows[:80]).items() for (h, j), y in sets(rows[80:]).items() if g == h and x & y}
+    assert {tuple(r) for r in out.select("g", "a", "b", "shared", "size_a", "size_b", "jaccard").collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # members meet, once for either kind of pair; no join of pairs with sizes

@@ -55,12 +55,20 @@ def array_jaccard(a: Column, b: Column) -> Column:
 
 
 def shared_members(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, right: str, member: str) -> DataFrame:
-    """Pairs within equal keys that share a member: (keys, left, right, shared, size_a, size_b, jaccard), by an inverted index."""
-    a, b = a.select(*keys, left, member).distinct(), b.select(*keys, right, member).distinct()
-    n_a, n_b = a.groupBy(*keys, left).agg(F.count(F.lit(1)).alias("size_a")), b.groupBy(*keys, right).agg(F.count(F.lit(1)).alias("size_b"))
-    pairs = a.join(b, [*keys, member]).groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("shared"))
-    out = pairs.join(n_a, [*keys, left]).join(n_b, [*keys, right])
-    return out.withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    """Pairs within equal keys that share a member: (keys, left, right, shared, size_a, size_b, jaccard), by an inverted index.
+
+    Where a side has one member, the pair meets once and shares one, so it is told where it meets. Only pairs of several members on
+    both sides are grouped.
+    """
+    def sized(d: DataFrame, side: str, size: str) -> DataFrame:
+        d = d.select(*keys, side, member).distinct()
+        return d.withColumn(size, F.count(F.lit(1)).over(W.partitionBy(*keys, side)))
+
+    a, b = sized(a, left, "size_a"), sized(b, right, "size_b")
+    met = a.join(b, [*keys, member]).where("size_a = 1 or size_b = 1").select(*keys, left, right, F.lit(1).cast("long").alias("shared"), "size_a", "size_b")
+    many = a.where("size_a > 1").join(b.where("size_b > 1"), [*keys, member])
+    many = many.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("shared"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    return met.unionByName(many).withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
 def covers(shared: Column, size_a: Column, size_b: Column) -> Column:
