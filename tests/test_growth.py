@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, joins, linkage, matching, offer_build
+from tidemark.operators import blocks, joins, linkage, matching, offer_build, transit
 
 
 @pytest.fixture
@@ -105,3 +105,12 @@ def test_single_members_are_not_grouped(spark):
     assert {tuple(r) for r in out.select("g", "a", "b", "shared", "size_a", "size_b", "jaccard").collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 2  # members meet, once for either kind of pair; no join of pairs with sizes
+
+
+def test_a_transfer_profile_needs_no_sort_for_its_least_ratings(spark):
+    rides = [(1, "a", "b", 0, 10), (2, "a", "c", 0, 900), (3, "b", "c", 20, 30), (4, "a", "c", 5, 640), (5, "a", "b", 2, 12), (6, "b", "c", 10, 25)]
+    stops = spark.createDataFrame([(s, s, 0) for s in "abc"], "frm string, dst string, walk long")
+    out = transit.transfer_profile(spark.createDataFrame(rides, "trip long, frm string, dst string, dep long, arr long"), stops)
+    got = {tuple(r) for r in out.select("frm", "dst", "dep", "arr", "rated").collect()}
+    assert got == {("a", "b", 0, 10, 10), ("a", "b", 2, 12, 12), ("a", "c", 0, 25, 625), ("a", "c", 2, 30, 630), ("a", "c", 5, 640, 640), ("b", "c", 10, 25, 25), ("b", "c", 20, 30, 30)}
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
