@@ -114,3 +114,10 @@ def test_a_transfer_profile_needs_no_sort_for_its_least_ratings(spark):
     got = {tuple(r) for r in out.select("frm", "dst", "dep", "arr", "rated").collect()}
     assert got == {("a", "b", 0, 10, 10), ("a", "b", 2, 12, 12), ("a", "c", 0, 25, 625), ("a", "c", 2, 30, 630), ("a", "c", 5, 640, 640), ("b", "c", 10, 25, 25), ("b", "c", 20, 30, 30)}
     assert "SortAggregate" not in out._jdf.queryExecution().toString()
+
+
+def test_units_are_counted_without_a_sort_of_all_rows(spark):
+    rows = spark.createDataFrame([("e1", None, False, 1), ("e1", "u2", False, 1), ("e2", None, False, 1), ("e2", "u3", True, 9)], "e string, u string, failed boolean, fit int")
+    out = linkage.one_unit_per_row(rows, ["e"], "u", F.col("failed"), F.col("fit"), F.col("u"))
+    assert {(r["e"], r["u"]) for r in out.collect()} == {("e1", None), ("e2", None)}  # two rows without a unit count as one unit's
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

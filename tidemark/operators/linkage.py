@@ -170,6 +170,6 @@ def link_by_title(old: DataFrame, new: DataFrame, keys: Sequence[str], similar:
 def one_unit_per_row(rows: DataFrame, key: Sequence[str], unit: str, failed: Column, fit: Column, order: Column) -> DataFrame:
     """Rows that several units report, each with one unit only: one that didn't fail, then of the best fit, then with the
     most rows, then first in order."""
-    n = F.count(F.lit(1)).over(W.partitionBy(unit))
+    sizes = rows.groupBy(F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__n"))  # joined: a window over units would sort all rows once more
     w = W.partitionBy(*key).orderBy(failed.cast("int"), fit.desc(), F.col("__n").desc(), order, F.col(unit))
-    return rows.withColumn("__n", n).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__n", "__k")
+    return rows.join(sizes, F.col(unit).eqNullSafe(F.col("__u"))).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__u", "__n", "__k")
