@@ -24,9 +24,9 @@ def timed(occurrences: Column) -> Column:
     """Sessions of occurrences (struct<start, end>, civil): those whose start exists, with an end an hour later where none is
     given or it isn't later; in a gap of the clock the hour is counted in real time."""
     hour = F.expr(f"INTERVAL {MINUTES} MINUTES")
-    real = F.filter(occurrences, lambda o: timefn.to_utc(o["start"]).isNotNull())
-    guess = lambda o: F.when(timefn.to_utc(o["start"] + hour).isNull(), o["start"] + hour + hour).otherwise(o["start"] + hour)
-    fine = lambda o: (o["end"] > o["start"]) & timefn.to_utc(o["end"]).isNotNull()
+    real = F.filter(occurrences, lambda o: timefn.exists(o["start"]))
+    guess = lambda o: F.when(timefn.exists(o["start"] + hour), o["start"] + hour).otherwise(o["start"] + hour + hour)
+    fine = lambda o: (o["end"] > o["start"]) & timefn.exists(o["end"])
     return F.transform(real, lambda o: F.struct(o["start"].alias("start"), F.when(fine(o), o["end"]).otherwise(guess(o)).alias("end")))
 
 
@@ -39,18 +39,24 @@ def drafts(events: DataFrame, first: Column, last: Column) -> DataFrame:
     """
     day = lambda s: F.to_date(s["start"])
     course, single = F.col("kind") == sessions.COURSE, F.col("kind") == sessions.SINGLE
-    d = events.withColumn("__s", timed(F.col("occurrences"))).drop("occurrences")
-    d = d.withColumn("__s", F.when(course, F.col("__s")).otherwise(F.filter("__s", lambda s: day(s).between(first, last))))
-    ends = [day(F.try_element_at("__s", F.lit(k))) for k in (1, -1)]
-    d = d.where((F.size("__s") > 0) & (~course | ((ends[1] >= first) & (ends[0] <= last))))
+    occurrences, inside = F.col("occurrences"), lambda o: day(o).between(first, last)
+    # What lies outside goes before any zone is asked, and what stays is timed once: a condition on timed sessions would time them again for each mention.
+    meets = F.when(course, F.exists(occurrences, lambda o: day(o) >= first) & F.exists(occurrences, lambda o: day(o) <= last)).otherwise(F.exists(occurrences, inside))
+    shown = timed(F.when(course, occurrences).otherwise(F.filter(occurrences, inside)))
+
+    def parts(s: Column) -> Column:
+        ends = [day(F.try_element_at(s, F.lit(k))) for k in (1, -1)]
+        held = (F.size(s) > 0) & (~course | ((ends[1] >= first) & (ends[0] <= last)))
+        return F.when(held, F.when(single, F.transform(s, lambda x: F.array(x))).otherwise(F.array(s)))
+
     cohort = F.when(F.col("kind") != sessions.REGULAR, cohortfn.birth_cohort(F.col("title")))
     own = F.when(F.col("low").isNotNull(), F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))
-    d = d.withColumn("__c", cohort).withColumn("__own", own).withColumn("__part", F.explode(F.when(single, F.transform("__s", lambda s: F.array(s))).otherwise(F.array("__s"))))
+    d = events.where(meets).withColumn("__c", cohort).withColumn("__own", own).withColumn("__part", F.explode(let(shown, parts))).drop("occurrences")
     at = F.to_date(F.col("__part")[0]["start"])
-    d = d.withColumn("__age", F.coalesce(cohortfn.cohort_age(F.col("__c"), at), F.col("__own")))
+    d = d.withColumn("__age", F.coalesce(F.when(F.col("__c").isNotNull(), cohortfn.cohort_age(F.col("__c"), at)), F.col("__own")))
     d = d.where(F.col("__age").isNull() | (F.col("__age.low") <= MOST_MONTHS))
     d = d.withColumns({"low": F.col("__age.low"), "high": F.when(F.col("__age.high").isNotNull(), F.least(F.col("__age.high"), F.lit(MOST_MONTHS))), "sessions": F.col("__part")})
-    return d.drop("__s", "__c", "__own", "__part", "__age")
+    return d.drop("__c", "__own", "__part", "__age")
 
 
 def _union(versions: Column) -> Column:
