@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions import timefn
-from tidemark.operators import offer_build
+from tidemark.operators import calendar_rules, offer_build
 
 
 def test_sessions_are_timed_once(spark):
@@ -39,3 +39,25 @@ def test_civil_times_in_gaps_and_overlaps(spark):
     d = spark.createDataFrame([(x,) for x in at], "t timestamp_ntz")
     got = [(r["a"], r["b"]) for r in d.select(timefn.exists(F.col("t")).alias("a"), timefn.to_utc(F.col("t")).isNotNull().alias("b")).collect()]
     assert got == [(x, x) for x in (True, False, False, True, True, False)]
+
+
+def test_calendar_texts_are_searched_once_and_rules_go_by_their_own_days(spark):
+    event = "BEGIN:VEVENT\nUID:{0}\nDTSTART:{1}\nRRULE:{2}\nEND:VEVENT\n"
+    rules = [
+        ("00010103T100000", "FREQ=DAILY;INTERVAL=2000000000;COUNT=2000000000"),
+        ("20260131T100000", "FREQ=MONTHLY;COUNT=3"),
+        ("20240229T100000", "FREQ=YEARLY;COUNT=2"),
+        ("20260101T100000", "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO;COUNT=2"),
+        ("20260106T100000", "FREQ=DAILY;INTERVAL=2;BYDAY=MO;COUNT=2"),
+        ("20260101T100000", "FREQ=MONTHLY;BYMONTHDAY=-31,1;COUNT=3"),
+    ]
+    texts = spark.createDataFrame([(1, "".join(event.format(i, *r) for i, r in enumerate(rules)))], "k int, t string")
+    events = calendar_rules.calendar_events(texts, "k", "t", "Europe/Berlin")
+    got = {}
+    for r in calendar_rules.occurrences(events, "k", "0001-01-01", "2030-12-31", "Europe/Berlin").collect():
+        got.setdefault(r["n"], []).append(r["day"].isoformat())
+    assert {k: sorted(v) for k, v in got.items()} == {
+        0: ["0001-01-03"], 1: ["2026-01-31", "2026-03-31", "2026-05-31"], 2: ["2024-02-29", "2028-02-29"],
+        3: ["2026-01-12", "2026-01-26"], 4: ["2026-01-12", "2026-01-26"], 5: ["2026-01-01", "2026-02-01", "2026-03-01"],
+    }
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 40  # once a text, not once a mention
