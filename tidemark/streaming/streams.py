@@ -23,32 +23,42 @@ def once_per_day(events: DataFrame, key: str, ts: str, late: str = "3 days", day
     return dated.dropDuplicatesWithinWatermark([key, "day"])
 
 
-def first_seen(events: DataFrame, key: str, ts: str, rest_ms: int, late: str = "1 hour") -> DataFrame:
+def first_seen(events: DataFrame, key: str, ts: str, rest_ms: int, late: str = "1 hour", groups: int = 256) -> DataFrame:
     """(key, n, is_new) per micro-batch that has the key n times: a key is new until it was seen, and again when ``rest_ms`` have passed between its last
-    event and the first one of a batch.
+    event and the first one of a batch. Keys are numbers, texts, dates or truth values, or null.
 
-    The state of a resting key goes when the watermark says that no event can come in time any more; whether it has gone
-    already makes no difference to the result.
+    Keys are held in ``groups`` by a hash, so Python is called once per group and batch, not once per key; a checkpoint goes on with the
+    ``groups`` it began with. A group's state are the last events of its keys. A resting key's goes when the watermark says that no event can come in time
+    any more; whether it has gone already makes no difference to the result.
     """
-
-    def advance(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    kind = dict(events.dtypes)[key]
+    if kind.startswith(("binary", "timestamp", "array", "map", "struct")):
+        raise ValueError(f"keys of first_seen can't be of the type {kind}")
+
+    def advance(_: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
+        mark, now = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
+            for b in batches:
+                for k, ms in zip(b["__key"].tolist(), b["__ms"].tolist(), strict=True):
+                    n, low, high = now.get(k, (0, ms, ms))
+                    now[k] = n + 1, min(low, ms), max(high, ms)
+        new = [k not in seen or low - seen[k] >= rest_ms for k, (_, low, _) in now.items()]
+        for k, (_, _, high) in now.items():
+            seen[k] = max(high, seen.get(k, high))
+        seen = {k: last for k, last in seen.items() if last + rest_ms > mark}
+        if seen:
+            state.update((list(seen), list(seen.values())))
+            state.setTimeoutTimestamp(max(min(seen.values()) + rest_ms, mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        n, first, last = 0, None, 0
-        for b in batches:
-            n, last = n + len(b), max(last, int(b["__ms"].max()))
-            first = int(b["__ms"].min()) if first is None else min(first, int(b["__ms"].min()))
-        seen = state.get[0] if state.exists else None
-        last = last if seen is None else max(last, seen)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + rest_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "is_new": [seen is None or first - seen >= rest_ms]})
+        if now:
+            yield pd.DataFrame({"k": pd.Series(list(now), dtype="object"), "n": [v[0] for v in now.values()], "is_new": new})
 
-    kind = dict(events.dtypes)[key]
-    # Instants go to Python as milliseconds, which no session's zone moves.
-    keyed = events.withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias("__ms")).groupBy(key)
-    return keyed.applyInPandasWithState(advance, f"{key} {kind}, n long, is_new boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    # Keys go to Python as texts, as whole numbers beside a null would become floats, and instants as milliseconds, which no session's zone moves.
+    keyed = events.withWatermark(ts, late).select(F.col(key).cast("string").alias("__key"), ts, F.unix_millis(ts).alias("__ms"), F.pmod(F.xxhash64(key), F.lit(groups)).alias("__g"))
+    out = keyed.groupBy("__g").applyInPandasWithState(advance, "k string, n long, is_new boolean", "keys array<string>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("k").cast(kind).alias(key), "n", "is_new")
 
 
 def diffed(path: str, key: str):
