@@ -242,7 +242,7 @@ def assign(drafts: DataFrame, previous: DataFrame, resting: DataFrame, venues: D
     new = cut(_side(keyed, "draft", first, to).join(keyed.select("draft", "key"), "draft"))
     olds = cut(_side(previous.withColumnRenamed("id", "old"), "old", first, to))
     matched, judged, unsure, ignored = _first_pass(keyed, previous, new, olds, venues, first)
-    far = cut(_side(keyed, "draft", first, last).join(keyed.select("draft", "key"), "draft"))
+    far = new if previous_last is None else cut(_side(keyed, "draft", first, last).join(keyed.select("draft", "key"), "draft"))
     back = _second_pass(far, matched, unsure, previous, resting, venues, first, last)
     got = matched.unionByName(back)
     open_ = cut(new.join(got.select("draft"), "draft", "left_anti").select("draft", "key"))
