@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprfn import let
 from .textfn import base36, slug
 
 # Forms of short ids, catalogue ids and old offer ids, and the most characters of the latter two.
@@ -35,16 +36,15 @@ def _units(text: Column) -> Column:
 def hash53(text: Column, seed: Column | int = 0) -> Column:
     """The 53-bit hash of a text (long)."""
     s = F.lit(seed).cast("long") if isinstance(seed, int) else seed.cast("long")
-    run = lambda start, step: F.aggregate(_units(text), F.lit(start).cast("long").bitwiseXOR(s), lambda h, c: _times(h.bitwiseXOR(c), step))
-    h1, h2 = run(SEED_1, STEP_1), run(SEED_2, STEP_2)
-    state = F.struct(h1.alias("a"), h2.alias("b"))
+    run = lambda units, start, step: F.aggregate(units, F.lit(start).cast("long").bitwiseXOR(s), lambda h, c: _times(h.bitwiseXOR(c), step))
+    state = let(_units(text), lambda u: F.struct(run(u, SEED_1, STEP_1).alias("a"), run(u, SEED_2, STEP_2).alias("b")))
 
     def finish(h: Column) -> Column:
         a = _times(_xor_shift(h["a"], h["a"], 16), MIX_1).bitwiseXOR(_times(_xor_shift(h["b"], h["b"], 13), MIX_2))
         b = _times(_xor_shift(h["b"], h["b"], 16), MIX_1).bitwiseXOR(_times(_xor_shift(a, a, 13), MIX_2))
         return b.bitwiseAND(F.lit(0x1FFFFF)) * F.lit(1 << 32) + a
 
-    return F.transform(F.array(state), finish)[0]
+    return let(state, finish)
 
 
 def short_id(text: Column, seed: Column | int = 0) -> Column:
@@ -54,9 +54,9 @@ def short_id(text: Column, seed: Column | int = 0) -> Column:
 
 def offer_key(provider: Column, venue: Column, title: Column, format_: Column, first_start: Column, regular: str = "regular") -> Column:
     """provider--title--venue; courses and single events carry the local minute of their first start."""
-    name = slug(title)
-    dated = F.concat(name, F.lit("-"), F.coalesce(F.date_format(first_start, "yyyyMMdd't'HHmm"), F.lit("")))
-    return F.concat_ws("--", provider, F.when(format_ == regular, name).otherwise(dated), venue)
+    dated = F.concat(F.lit("-"), F.coalesce(F.date_format(first_start, "yyyyMMdd't'HHmm"), F.lit("")))
+    name = F.concat(slug(title), F.when(format_ == regular, "").otherwise(dated))
+    return F.concat_ws("--", provider, name, venue)
 
 
 def window_key(provider: Column, venue: Column, title: Column, format_: Column, sessions: Column, since: Column, regular: str = "regular") -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exprfn import let
+
 # Latin letters with marks and what they fold to.
 MARKED, PLAIN = "àáâãåçèéêëìíîïñòóôõùúûýÿ", "aaaaaceeeeiiiinoooouuuyy"
 
@@ -27,9 +29,10 @@ def slug(text: Column, most: int = 60) -> Column:
     for letter, pair in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         low = F.replace(low, F.lit(letter), F.lit(pair))
     kebab = F.regexp_replace(F.regexp_replace(F.translate(low, MARKED, PLAIN), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.regexp_replace(F.substring(kebab, 1, most), "-[^-]*$", "")
-    whole = F.when(F.length(kebab) <= most, kebab).when(F.substring(kebab, most + 1, 1) == "-", F.substring(kebab, 1, most)).otherwise(F.when(F.instr(F.substring(kebab, 1, most), "-") > 0, cut).otherwise(F.substring(kebab, 1, most)))
-    return F.when(whole == "", "x").otherwise(whole)
+    head = lambda k: F.substring(k, 1, most)
+    cut = lambda k: F.when(F.instr(head(k), "-") > 0, F.regexp_replace(head(k), "-[^-]*$", "")).otherwise(head(k))
+    whole = lambda k: F.when(k == "", "x").when(F.length(k) <= most, k).when(F.substring(k, most + 1, 1) == "-", head(k)).otherwise(cut(k))
+    return let(kebab, whole)
 
 
 def squeezed(text: Column) -> Column:

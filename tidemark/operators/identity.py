@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import idfn, textfn, titlefn
+from ..functions.exprfn import let
 from . import linkage, offer_build, sessions
 from .joins import mutual_best
 from .lineage import cut
@@ -31,11 +32,11 @@ def _minutes(sessions_: Column, first: Column, to: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(inside, lambda s: F.date_trunc("minute", s["start"]).cast("timestamp_ntz"))))
 
 
-def _side(offers: DataFrame, name: str, first: Column, to: Column) -> DataFrame:
-    """What comparing needs of each offer, under its ``name``."""
-    shown = [F.col(name), "provider", "venue", "kind", "low", "high", "title", "sessions"]
+def _side(offers: DataFrame, name: str, first: Column, to: Column, *others: str) -> DataFrame:
+    """What comparing needs of each offer, under its ``name``, and its columns ``others``."""
+    shown = [F.col(name), *others, "provider", "venue", "kind", "low", "high", "title", "sessions"]
     window = idfn.window_key(F.col("provider"), F.col("venue"), F.col("title"), F.col("kind"), F.col("sessions"), first)
-    return offers.select(*shown, titlefn.title_profile(F.col("title")).alias("profile"), window.alias("window"), to.alias("to"), _minutes(F.col("sessions"), first, to).alias("minutes"))
+    return offers.select(*shown, window.alias("window"), to.alias("to"), _minutes(F.col("sessions"), first, to).alias("minutes"))
 
 
 def _candidates(olds: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -66,12 +67,24 @@ def _pairs(olds: DataFrame, drafts: DataFrame, venues: DataFrame) -> DataFrame:
     switch = F.col("o.kind").isin(*FORMS) & F.col("d.kind").isin(*FORMS)
     same_kind, here = F.col("o.kind") == F.col("d.kind"), F.col("o.venue") == F.col("d.venue")
     series = F.when(same_kind, start | (linkage.array_jaccard(days(F.col("o.minutes")), days(F.col("m"))) >= SAME_DAYS)).otherwise(switch & start)
-    p, q = F.col("o.profile"), F.col("d.profile")
-    return both.select(
-        "old", "draft", F.col("o.provider").alias("provider"), F.col("d.title").alias("title"), linkage.array_jaccard(F.col("o.minutes"), F.col("m")).alias("t"), here.alias("here"), (here | F.col("known").isNull()).alias("reachable"), series.alias("series"), (same_kind | (switch & start)).alias("form"),
-        F.arrays_overlap(clocks(F.col("o.minutes")), clocks(F.col("m"))).alias("clock"), textfn.similar_title(F.col("o.title"), F.col("d.title"), titlefn.GENERIC).alias("similar"), titlefn.contradict(p, q, 2).alias("opposed"), titlefn.alike(p, q).alias("alike"),
-        titlefn.compatible_age(F.col("o.low"), F.col("o.high"), F.col("d.low"), F.col("d.high")).alias("ages"), F.coalesce(textfn.title_ratio(F.lower("o.title"), F.lower("d.title")), F.lit(0.0)).alias("ratio"),
+    both = both.select(
+        "old", "draft", F.col("o.provider").alias("provider"), F.col("o.title").alias("was"), F.col("d.title").alias("title"), linkage.array_jaccard(F.col("o.minutes"), F.col("m")).alias("t"), here.alias("here"), (here | F.col("known").isNull()).alias("reachable"), series.alias("series"), (same_kind | (switch & start)).alias("form"),
+        F.arrays_overlap(clocks(F.col("o.minutes")), clocks(F.col("m"))).alias("clock"), titlefn.compatible_age(F.col("o.low"), F.col("o.high"), F.col("d.low"), F.col("d.high")).alias("ages"),
     )
+    both = cut(both)
+    told = _told(both.select("was", "title").distinct())
+    same = F.col("was").eqNullSafe(F.col("__t")) & F.col("title").eqNullSafe(F.col("__u"))
+    return both.join(told, same).drop("was", "__t", "__u")
+
+
+def _told(titles: DataFrame) -> DataFrame:
+    """``titles`` (was, title: different pairs) as __t and __u with what they say of one another: once a pair of titles, not once a pair of offers."""
+    a, b = F.col("__t"), F.col("__u")
+    titles = cut(titles.toDF("__t", "__u"))  # written, or the tests would be moved before the distinct rows
+    profiles = F.struct(titlefn.title_profile(a).alias("p"), titlefn.title_profile(b).alias("q"))
+    both = let(profiles, lambda t: F.struct(titlefn.contradict(t["p"], t["q"], 2).alias("opposed"), titlefn.alike(t["p"], t["q"]).alias("alike")))
+    ratio = F.coalesce(textfn.title_ratio(F.lower(a), F.lower(b)), F.lit(0.0))
+    return titles.select("__t", "__u", textfn.similar_title(a, b, titlefn.GENERIC).alias("similar"), both.alias("both"), ratio.alias("ratio")).select("__t", "__u", "similar", "both.*", "ratio")
 
 
 def _without(pairs: DataFrame, olds: DataFrame | None, drafts: DataFrame | None) -> DataFrame:
@@ -134,12 +147,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _first_pass(drafts: DataFrame, previous: DataFrame, new: DataFrame, olds: DataFrame, venues: DataFrame, first: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _first_pass(drafts: DataFrame, new: DataFrame, olds: DataFrame, venues: DataFrame, first: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(old, draft, stage) against the night before, pairs, unsure drafts, and (draft, note) of claims that don't count."""
-    twins = cut(twins_of(previous, first))
+    twins = cut(twins_of(olds.withColumnRenamed("old", "id"), first))
     # Ids that a judge or the rule for duplicates has kept: for one draft only, of the same provider; the venue may change.
     claim = drafts.where("keep is not null").select("draft", "provider", F.col("keep").alias("old")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("old")))
-    claim = cut(claim.join(previous.select(F.col("id").alias("old"), F.col("provider").alias("was")), "old", "left"))
+    claim = cut(claim.join(olds.select("old", F.col("provider").alias("was")), "old", "left"))
     why = F.when(F.col("was").isNull(), "kept id unknown").when(F.col("n") > 1, "kept id claimed twice").when(F.col("was") != F.col("provider"), "kept id of another provider")
     matched = claim.where(why.isNull()).select("old", "draft", F.lit(KEPT).alias("stage"))
     ignored = claim.where(why.isNotNull()).select("draft", why.alias("note"))
@@ -190,17 +203,17 @@ def _first_pass(drafts: DataFrame, previous: DataFrame, new: DataFrame, olds: Da
     return matched, judged, vague.select("draft").distinct(), ignored
 
 
-def _second_pass(new: DataFrame, matched: DataFrame, unsure: DataFrame, previous: DataFrame, resting: DataFrame, venues: DataFrame, first: Column, last: Column) -> DataFrame:
+def _second_pass(new: DataFrame, matched: DataFrame, unsure: DataFrame, olds: DataFrame, resting: DataFrame, venues: DataFrame, first: Column, last: Column) -> DataFrame:
     """(old, draft, stage) of drafts that are still open and were never ambiguous, against the resting memory. Over weeks equal starts may
     be another offer's, so title and age must agree as well."""
-    memory = resting.withColumn("sessions", F.transform("starts", lambda s: F.struct(s.alias("start"), s.alias("end"))))
-    every = cut(_side(memory.withColumnRenamed("id", "old"), "old", first, F.least("horizon_to", last)).join(resting.select(F.col("id").alias("old"), "key"), "old"))
+    memory = resting.withColumnRenamed("id", "old").withColumn("sessions", F.transform("starts", lambda s: F.struct(s.alias("start"), s.alias("end"))))
+    every = cut(_side(memory, "old", first, F.least("horizon_to", last), "key"))
     # Not an entry that is a dropped duplicate of an offer that has its id: it would come back as a second version.
     starts = lambda side, name: side.select(name, "provider", "venue", "kind", F.explode(_minutes(F.col("sessions"), first, F.lit("9999-12-31").cast("date"))).alias("minute"))
     taken = new.join(matched.select("draft"), "draft", "left_semi")
     near = starts(every, "old").join(starts(taken, "draft"), ["provider", "venue", "kind", "minute"]).select("old", "draft").distinct()
     double = near.join(every.alias("x"), "old").join(taken.alias("y"), "draft").where(offer_build.same_offer_twice("x", "y", first)).select("old").distinct()
-    rest = cut(every.join(previous.select(F.col("id").alias("old")), "old", "left_anti").join(double, "old", "left_anti"))
+    rest = cut(every.join(olds.select("old"), "old", "left_anti").join(double, "old", "left_anti"))
     players = cut(new.join(matched.select("draft"), "draft", "left_anti").join(unsure, "draft", "left_anti"))
 
     def unique(column: str) -> DataFrame:
@@ -238,15 +251,16 @@ def assign(drafts: DataFrame, previous: DataFrame, resting: DataFrame, venues: D
     every old and resting id. ``note`` says what was ambiguous, split from an old offer, or not kept.
     """
     to = last if previous_last is None else F.least(last, previous_last)
-    keyed = drafts.withColumn("key", idfn.offer_key(F.col("provider"), F.col("venue"), F.col("title"), F.col("kind"), F.try_element_at("sessions", F.lit(1))["start"]))
-    new = cut(_side(keyed, "draft", first, to).join(keyed.select("draft", "key"), "draft"))
+    key = idfn.offer_key(F.col("provider"), F.col("venue"), F.col("title"), F.col("kind"), F.try_element_at("sessions", F.lit(1))["start"])
+    # What follows goes by these written sides, so that neither night is made or read again.
+    new = cut(_side(drafts, "draft", first, to).withColumn("key", key))
     olds = cut(_side(previous.withColumnRenamed("id", "old"), "old", first, to))
-    matched, judged, unsure, ignored = _first_pass(keyed, previous, new, olds, venues, first)
-    far = new if previous_last is None else cut(_side(keyed, "draft", first, last).join(keyed.select("draft", "key"), "draft"))
-    back = _second_pass(far, matched, unsure, previous, resting, venues, first, last)
+    matched, judged, unsure, ignored = _first_pass(drafts, new, olds, venues, first)
+    far = new if previous_last is None else cut(_side(drafts, "draft", first, last).withColumn("key", key))
+    back = _second_pass(far, matched, unsure, olds, resting, venues, first, last)
     got = matched.unionByName(back)
     open_ = cut(new.join(got.select("draft"), "draft", "left_anti").select("draft", "key"))
-    used = previous.select("id").union(resting.select("id")).distinct()
+    used = olds.select(F.col("old").alias("id")).union(resting.select("id")).distinct()
     fresh = linkage.assigned_ids(open_, "key", used, "draft").select("draft", F.col("id").alias("old"), F.lit(FRESH).alias("stage"))
     parted = judged.where("starts or named").select("old", "draft").join(matched.select("old"), "old", "left_semi").join(open_, "draft", "left_semi").groupBy("draft").agg(F.concat(F.lit("split from "), F.min("old")).alias("split"))
     out = got.select("draft", "old", "stage").unionByName(fresh)

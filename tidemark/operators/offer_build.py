@@ -89,6 +89,9 @@ def drop_outranked(offers: DataFrame, key: str = "id") -> DataFrame:
     shape = ["provider", "venue", "start", "rank", "title"]
     starts = offers.select(F.col(key).alias("__k"), "provider", "venue", "rank", "ord", "title", F.explode("sessions.start").alias("start"))
     classes = starts.groupBy(*shape).agg(F.min(F.struct("ord", "__k")).alias("first"))
+    # Only where ranks differ can one outrank another: the rest goes before classes meet.
+    ranks = W.partitionBy("provider", "venue", "start")
+    classes = cut(classes.withColumns({"__a": F.min("rank").over(ranks), "__z": F.max("rank").over(ranks)}).where("__a < __z").drop("__a", "__z"))
     low, high = classes.alias("l"), classes.alias("h")
     on = [F.col(f"l.{c}") == F.col(f"h.{c}") for c in ("provider", "venue", "start")] + [F.col("h.rank") < F.col("l.rank")]
     met = cut(low.join(high, on).select(*[f"l.{c}" for c in shape], F.col("h.title").alias("__u"), F.struct("h.rank", "h.first").alias("h")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cohortfn, idfn, titlefn
 from ..operators import identity, nightly, offer_build, refresh, sessions
+from ..operators.lineage import cut
 from . import bindings as B
 from .queries import query, text, with_roles
 
@@ -99,7 +100,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as events: occurrences without an end for every third line, with one before the start for every fifth; ages for most."""
     s = B.session_rows(spark, sf_dir)
     end = F.when(F.col("l_linenumber") % 3 == 0, None).when(F.col("l_linenumber") % 5 == 0, F.col("start") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("end"))
-    occ = s.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("start", end.alias("end")))).alias("occurrences"))
+    occ = s.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("start", end.alias("end")))).alias("occurrences"))
     o = B.table(spark, sf_dir, "orders")
     low = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 40)
     return o.join(occ, o["o_orderkey"] == occ["l_orderkey"]).select("o_orderkey", F.col("o_custkey").alias("provider"), F.lit(1).alias("venue"), F.col("o_orderstatus").alias("title"), B.kind(F.col("o_orderpriority")).alias("kind"), low.alias("low"), (low + 10).alias("high"), "occurrences")
@@ -186,9 +187,11 @@ def built_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build over orders as events: a part of the customers failed and keeps its old offers."""
     day = lambda t: F.lit(t).cast("date")
     e = _events(spark, sf_dir).select(F.col("provider").cast("string").alias("provider"), F.lit("v1").alias("venue"), F.concat(F.lit("Kurs "), "title").alias("title"), "kind", "low", "high", "occurrences", F.lit(0).alias("rank"), F.col("o_orderkey").alias("ord"), F.array("title").alias("topics"))
+    e = cut(e)  # written, as what is read of it several times would be grouped from the lines each time
     first, last = day("1998-06-15"), day("1998-12-31")
     kept = e.where(F.col("ord") % 3 == 0)
     old = offer_build.drafts(kept, first, last).withColumn("id", idfn.short_id(F.concat(F.lit("old"), "ord", F.lit("-"), F.col("sessions")[0]["start"].cast("string")))).withColumn("listed_at", F.lit("1998-06-01 03:00:00").cast("timestamp_ntz")).drop("rank", "ord")
+    old = cut(old)
     providers = e.select("provider", F.when(F.col("provider").cast("long") % 4 == 0, "check failed").alias("reason")).distinct()
     venues = providers.select("provider", F.lit("v1").alias("venue"))
     t = lambda x: F.lit(x).cast("timestamp_ntz")
