@@ -20,6 +20,7 @@ from .joins import mutual_best
 from .lineage import cut
 
 SAME_STARTS, SAME_DAYS = 0.8, 0.5  # shares of starts, and of days, that make two series one
+FEW, MOST_TOLD = 8, 10_000  # offers of a provider on a side whose pairs are all compared, and pairs of titles that each task may hold
 FORMS = (sessions.COURSE, sessions.REGULAR)  # kinds that one offer may be told as
 #: Stages as they stand in the result, in the order in which they choose.
 KEPT, KEY, STARTS, TITLE, MOVED, FRESH = "kept", "key", "starts", "title", "moved", "new"
@@ -55,24 +56,45 @@ def _candidates(olds: DataFrame, drafts: DataFrame) -> DataFrame:
     return here.union(there).distinct()
 
 
+def _met(olds: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(old, draft, provider, o, d): pairs that may be one offer, with what is compared of either side as a struct.
+
+    A provider of at most ``FEW`` offers on either side has few pairs: all of them are told. Only where there are more, candidates are looked for by their starts.
+    """
+    many = lambda side: side.groupBy("provider").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("provider")
+    crowded = cut(many(olds).union(many(drafts)).distinct())
+    shown = ["venue", "kind", "low", "high", "title", "minutes"]
+    o, d = olds.select("old", "provider", F.struct(*shown, "to").alias("o")), drafts.select("draft", "provider", F.struct(*shown).alias("d"))
+    columns = ["old", "draft", "provider", "o", "d"]
+    if crowded.isEmpty():
+        return o.join(d, "provider").select(*columns)
+    few = o.join(crowded, "provider", "left_anti").join(d, "provider").select(*columns)
+    found = _candidates(*(side.join(crowded, "provider", "left_semi") for side in (olds, drafts)))
+    return few.unionByName(found.join(o, "old").join(d.drop("provider"), "draft").select(*columns))
+
+
 def _pairs(olds: DataFrame, drafts: DataFrame, venues: DataFrame) -> DataFrame:
-    """Candidate pairs with what the stages ask: ``t`` (share of common starts; the draft is compared up to the old horizon), and tests."""
-    o, d = olds.alias("o"), drafts.alias("d")
+    """Pairs that a stage may choose, with what the stages ask: ``t`` (share of common starts; the draft is compared up to the old horizon), and tests. Every stage
+    asks for ``SAME_STARTS`` or for a like series at one venue."""
     known = venues.select(F.col("venue").alias("known")).distinct()
-    both = _candidates(olds, drafts).join(o, "old").join(d, "draft").join(known, F.col("o.venue") == F.col("known"), "left")
-    both = both.withColumn("m", F.filter("d.minutes", lambda x: F.to_date(x) <= F.col("o.to")))
+    both = _met(olds, drafts).withColumn("m", F.filter("d.minutes", lambda x: F.to_date(x) <= F.col("o.to")))
     days = lambda m: F.array_distinct(F.transform(m, lambda x: F.to_date(x)))
-    clocks = lambda m: F.transform(m, lambda x: F.date_format(x, "HHmm"))
+    clocks = lambda m: F.transform(m, lambda x: F.hour(x) * 60 + F.minute(x))
     start = F.coalesce(F.try_element_at("o.minutes", F.lit(1)) == F.try_element_at("m", F.lit(1)), F.lit(False))
     switch = F.col("o.kind").isin(*FORMS) & F.col("d.kind").isin(*FORMS)
     same_kind, here = F.col("o.kind") == F.col("d.kind"), F.col("o.venue") == F.col("d.venue")
     series = F.when(same_kind, start | (linkage.array_jaccard(days(F.col("o.minutes")), days(F.col("m"))) >= SAME_DAYS)).otherwise(switch & start)
-    both = both.select(
-        "old", "draft", F.col("o.provider").alias("provider"), F.col("o.title").alias("was"), F.col("d.title").alias("title"), linkage.array_jaccard(F.col("o.minutes"), F.col("m")).alias("t"), here.alias("here"), (here | F.col("known").isNull()).alias("reachable"), series.alias("series"), (same_kind | (switch & start)).alias("form"),
+    whole = (F.col("o.minutes") == F.col("m")) & (F.size("m") > 0)  # as most are
+    both = both.withColumns({"t": F.when(whole, 1.0).otherwise(linkage.array_jaccard(F.col("o.minutes"), F.col("m"))), "here": here})
+    both = both.withColumn("series", F.when(F.col("here"), series).otherwise(F.lit(False))).where((F.col("t") >= SAME_STARTS) | F.col("series"))
+    both = both.join(known, F.col("o.venue") == F.col("known"), "left").select(
+        "old", "draft", "provider", F.col("o.title").alias("was"), F.col("d.title").alias("title"), "t", "here", (F.col("here") | F.col("known").isNull()).alias("reachable"), "series", (same_kind | (switch & start)).alias("form"),
         F.arrays_overlap(clocks(F.col("o.minutes")), clocks(F.col("m"))).alias("clock"), titlefn.compatible_age(F.col("o.low"), F.col("o.high"), F.col("d.low"), F.col("d.high")).alias("ages"),
     )
     both = cut(both)
-    told = _told(both.select("was", "title").distinct())
+    told = cut(_told(both.select("was", "title").distinct()))
+    if told.count() <= MOST_TOLD:  # a few titles would put all pairs into as few tasks
+        told = F.broadcast(told)
     same = F.col("was").eqNullSafe(F.col("__t")) & F.col("title").eqNullSafe(F.col("__u"))
     return both.join(told, same).drop("was", "__t", "__u")
 
@@ -211,9 +233,15 @@ def _second_pass(new: DataFrame, matched: DataFrame, unsure: DataFrame, olds: Da
     # Not an entry that is a dropped duplicate of an offer that has its id: it would come back as a second version.
     starts = lambda side, name: side.select(name, "provider", "venue", "kind", F.explode(_minutes(F.col("sessions"), first, F.lit("9999-12-31").cast("date"))).alias("minute"))
     taken = new.join(matched.select("draft"), "draft", "left_semi")
-    near = starts(every, "old").join(starts(taken, "draft"), ["provider", "venue", "kind", "minute"]).select("old", "draft").distinct()
-    double = near.join(every.alias("x"), "old").join(taken.alias("y"), "draft").where(offer_build.same_offer_twice("x", "y", first)).select("old").distinct()
-    rest = cut(every.join(olds.select("old"), "old", "left_anti").join(double, "old", "left_anti"))
+    place = ["provider", "venue", "kind"]
+    shared = cut(every.select(*place).distinct().join(taken.select(*place).distinct(), place))  # where neither side is alone
+    rest = every.join(olds.select("old"), "old", "left_anti")
+    if not shared.isEmpty():
+        either = lambda side, name: starts(side.join(shared, place, "left_semi"), name)
+        near = either(every, "old").join(either(taken, "draft"), [*place, "minute"]).select("old", "draft").distinct()
+        double = near.join(every.alias("x"), "old").join(taken.alias("y"), "draft").where(offer_build.same_offer_twice("x", "y", first)).select("old").distinct()
+        rest = rest.join(double, "old", "left_anti")
+    rest = cut(rest)
     players = cut(new.join(matched.select("draft"), "draft", "left_anti").join(unsure, "draft", "left_anti"))
 
     def unique(column: str) -> DataFrame:

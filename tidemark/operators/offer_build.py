@@ -134,9 +134,11 @@ def same_offer_twice(a: str, b: str, since: Column) -> Column:
 
 def twins(offers: DataFrame, since: Column, key: str = "id") -> DataFrame:
     """(a, b): pairs of one provider, venue, kind and rank that are the same offer twice; ``a`` stands before ``b`` by ``ord``. Candidates
-    share a start, so a place's offers don't all meet."""
-    starts = offers.select(F.col(key).alias("k"), "provider", "venue", "kind", "rank", "ord", F.explode("sessions.start").alias("start")).where(F.to_date("start") >= since)
-    same = ["provider", "venue", "kind", "rank", "start"]
+    share a start, so a place's offers don't all meet; one that is alone there has no starts to tell."""
+    place = ["provider", "venue", "kind", "rank"]
+    several = offers.select(F.col(key).alias("k"), *place, "ord", F.col("sessions.start").alias("starts")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*place))).where("n > 1")
+    starts = several.select("k", *place, "ord", F.explode("starts").alias("start")).where(F.to_date("start") >= since)
+    same = [*place, "start"]
     pairs = starts.alias("l").join(starts.alias("h"), [F.col(f"l.{c}") == F.col(f"h.{c}") for c in same] + [F.col("h.ord") < F.col("l.ord")])
     pairs = pairs.select(F.col("h.k").alias("a"), F.col("l.k").alias("b")).distinct()
     shape = offers.select(F.col(key).alias("k"), "title", "low", "high", "sessions")
